@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query, module, function.
 QUERIES = (
+    ("op1_simhash", "simhash", "op1"),
     ("op6_secrets", "secret_scan", "op6"),
     ("op9_mixing", "mixing", "op9"),
     ("op10_sentencepiece", "spiece", "op10"),
