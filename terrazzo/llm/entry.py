@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query, module, function.
 QUERIES = (
     ("op1_simhash", "simhash", "op1"),
+    ("op5_suffix_dedup", "suffixes", "op5"),
     ("op6_secrets", "secret_scan", "op6"),
+    ("op8_substring", "substring", "op8"),
     ("op9_mixing", "mixing", "op9"),
     ("op10_sentencepiece", "spiece", "op10"),
 )
