@@ -53,8 +53,9 @@ def _void(rows: np.ndarray) -> np.ndarray:
 def classes(text: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
     """A number for every suffix, equal where the first ``window`` bytes are.
 
-    Suffixes that may be equal start at places of equal residue modulo
-    ``COVER``: callers lay texts out that way.
+    Suffixes whose windows are equal start at places of equal residue modulo
+    ``COVER``: callers lay texts out that way, so a common shift to the cover
+    is one that depends on the residue alone.
     """
     if window <= 2 * COVER:
         return np.unique(_void(_rows(text, starts, window)), return_inverse=True)[1]
@@ -64,7 +65,8 @@ def classes(text: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
     rank = ranks[back].astype(np.uint32).reshape(-1, 1).view(np.uint8)
     head = _rows(text, starts, COVER)
     tail = _rows(text, starts + window - COVER, COVER)
-    return np.unique(_void(np.hstack([head, rank, tail])), return_inverse=True)[1]
+    residue = (starts % COVER).astype(np.uint8).reshape(-1, 1)
+    return np.unique(_void(np.hstack([head, residue, rank, tail])), return_inverse=True)[1]
 
 
 def repeated(regions: list[tuple[bytes, int, int, bool]], window: int) -> list[np.ndarray]:
