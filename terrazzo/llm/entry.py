@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query, module, function.
 QUERIES = (
     ("op1_simhash", "simhash", "op1"),
+    ("op2_line_dedup", "linededup", "op2"),
     ("op5_suffix_dedup", "suffixes", "op5"),
     ("op6_secrets", "secret_scan", "op6"),
     ("op8_substring", "substring", "op8"),
@@ -30,6 +31,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from terrazzo.llm import mixing
+    from terrazzo.llm import linededup, mixing
 
-    return {"op9_mixing": mixing.ORACLE}
+    return {"op2_line_dedup": linededup.ORACLE, "op9_mixing": mixing.ORACLE}
