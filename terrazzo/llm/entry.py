@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES = (
     ("op1_simhash", "simhash", "op1"),
     ("op2_line_dedup", "linededup", "op2"),
+    ("op3_toxicity", "toxicity", "op3"),
     ("op5_suffix_dedup", "suffixes", "op5"),
     ("op6_secrets", "secret_scan", "op6"),
     ("op8_substring", "substring", "op8"),
