@@ -11,6 +11,7 @@ QUERIES = (
     ("op1_simhash", "simhash", "op1"),
     ("op2_line_dedup", "linededup", "op2"),
     ("op3_toxicity", "toxicity", "op3"),
+    ("op4_spotsigs", "spotsigs", "op4"),
     ("op5_suffix_dedup", "suffixes", "op5"),
     ("op6_secrets", "secret_scan", "op6"),
     ("op8_substring", "substring", "op8"),
