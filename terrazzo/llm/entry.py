@@ -14,6 +14,7 @@ QUERIES = (
     ("op4_spotsigs", "spotsigs", "op4"),
     ("op5_suffix_dedup", "suffixes", "op5"),
     ("op6_secrets", "secret_scan", "op6"),
+    ("op7_embeddings", "embeddings", "op7"),
     ("op8_substring", "substring", "op8"),
     ("op9_mixing", "mixing", "op9"),
     ("op10_sentencepiece", "spiece", "op10"),
