@@ -30,7 +30,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {name: _query(module, function) for name, module, function in QUERIES}
+    return {name: _query(module, function) for name, module, function in QUERIES} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -60,12 +61,47 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, digest: bool = False)
     equal results. Empty tables give empty results; other columns are not read.
     """
     rows = repeats.keyed(docs)
+    return _apply(repeats.with_ranges(rows, _later(rows, window)), digest)
+
+
+def _later(rows: DataFrame, window: int) -> DataFrame:
+    """Ranges of lines under windows that occur earlier too."""
     found = windows(rows, window)
     spot = F.struct("doc_id", "tag", "place")
     firsts = found.groupBy("h1", "h2").agg(F.min(spot).alias("first"), F.max(spot).alias("last")).where("first <> last").select("h1", "h2", "first")
     later = found.join(firsts, ["h1", "h2"]).where(~(F.struct("doc_id", "tag", "place").eqNullSafe(F.col("first"))))
-    spans = later.select("doc_id", "tag", F.col("place").alias("a"), (F.col("place") + F.lit(window)).alias("b"))
-    return _apply(repeats.with_ranges(rows, spans), digest)
+    return later.select("doc_id", "tag", F.col("place").alias("a"), (F.col("place") + F.lit(window)).alias("b"))
+
+
+def _left(lines: list[str], spans) -> list[str]:
+    at, left = 0, []
+    for a, b in repeats.merged(spans):
+        left += lines[at:a]
+        at = b
+    return left + lines[at:]
+
+
+def strip(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs``, all columns, with later repeats of line windows cut from ``text``.
+
+    Removal, nulls, ties and repeated rows as in ``remove_repeats``; null texts
+    stay null, and ``n_chars``, where there is one, follows the text.
+    """
+    rows = repeats.keyed(docs)
+    per = repeats.by_document(_later(rows, window))
+    whole = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_tag"))
+
+    @F.pandas_udf("string")
+    def rest(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+        spans = ([{"a": x, "b": y} for x, y in zip(a.tolist(), b.tolist())] for a, b in zip(starts, ends))
+        return pd.Series(["\n".join(_left(t.split("\n"), s)) for t, s in zip(text, spans)], dtype=object)
+
+    joined = whole.join(per, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_tag") == F.col("_t")), "left")
+    # Rows without ranges carry empty lists past the function.
+    bounds = [F.coalesce(F.col(f"ranges.{c}"), F.array().cast("array<bigint>")) for c in ("a", "b")]
+    cut = joined.withColumn("_text", F.when(F.col("ranges").isNull(), F.col("_row.text")).otherwise(rest(F.coalesce("_row.text", F.lit("")), *bounds)))
+    new = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
+    return cut.select(*[(new[c] if c in new else F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 def _apply(rows: DataFrame, digest: bool) -> DataFrame:
@@ -74,11 +110,7 @@ def _apply(rows: DataFrame, digest: bool) -> DataFrame:
             total, gone, kept = [], [], []
             for text, spans in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist()):
                 lines = text.split("\n") if text is not None else []
-                at, left = 0, []
-                for a, b in repeats.merged(spans):
-                    left += lines[at:a]
-                    at = b
-                left += lines[at:]
+                left = _left(lines, spans)
                 total.append(len(lines))
                 gone.append(len(lines) - len(left))
                 joined = "\n".join(left)

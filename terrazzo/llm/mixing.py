@@ -49,7 +49,7 @@ def source_targets(sizes: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap:
         .withColumn("total", F.sum("source_size").over(every) * F.lit(float(share)))
         .withColumn("ratio", F.col("clamp") / F.col("weight"))
         .withColumn("level", (F.col("total") - F.coalesce(F.sum("clamp").over(before), F.lit(0))) / F.sum("weight").over(after))
-        .withColumn("level", F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(every))
+        .withColumn("level", F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(every))
     )
     target = F.least(F.col("clamp").cast("double"), F.coalesce(F.col("level") * F.col("weight"), F.col("clamp").cast("double")))
     return ranked.select("source", "source_size", "source_docs", target.alias("target"))
@@ -91,6 +91,26 @@ def deal(sizes: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: int = 2,
     )
 
 
+def apply(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: int = 2, seed: str = "mix") -> DataFrame:
+    """``docs``, all columns, as the mix takes them.
+
+    A row comes out once for every whole repetition; where a quota ends inside
+    a document, one more row holds the first words that are still taken,
+    joined by spaces, with ``n_chars``, where there is one, following. Rows
+    taken no times, blank ones among them, go. Ties and nulls as in ``mix``.
+    """
+    sizes = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.struct("*").alias("_row"))
+    dealt = deal(sizes, weights, share, cap, seed).where("taken > 0")
+    whole = F.floor(F.col("taken") / F.col("size")).cast("int")
+    rest = (F.col("taken") % F.col("size")).cast("int")
+    copies = F.concat(F.array_repeat(F.lit(0), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
+    rows = dealt.select("_row", F.explode(copies).alias("_words"))
+    part = F.array_join(F.slice(F.regexp_extract_all(F.col("_row.text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("_words")), " ")
+    rows = rows.withColumn("_text", F.when(F.col("_words") == 0, F.col("_row.text")).otherwise(part))
+    new = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
+    return rows.select(*[(new[c] if c in new else F.col("_row")[c]).alias(c) for c in docs.columns])
+
+
 ORACLE = r"""
 WITH sizes AS (
   SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size FROM documents),
@@ -101,7 +121,7 @@ weighed AS (SELECT *, (CASE rank % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END)::BI
 ratios AS (SELECT *, clamp::DOUBLE / weight::DOUBLE AS ratio FROM weighed),
 levels AS (SELECT *, (total - coalesce(sum(clamp) OVER (ORDER BY ratio, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
   / (sum(weight) OVER (ORDER BY ratio, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level FROM ratios),
-water AS (SELECT *, min(CASE WHEN level <= ratio THEN level END) OVER () AS lam FROM levels),
+water AS (SELECT *, max(CASE WHEN level <= ratio THEN level END) OVER () AS lam FROM levels),
 targets AS (SELECT source, source_size, source_docs, least(clamp::DOUBLE, coalesce(lam * weight::DOUBLE, clamp::DOUBLE)) AS target FROM water),
 joined AS (SELECT s.doc_id, s.source, s.size, t.source_size, t.target, t.source_docs,
   CASE WHEN t.source_size > 0 THEN t.target / t.source_size::DOUBLE ELSE 0.0::DOUBLE END AS rate,

@@ -82,7 +82,8 @@ def covered(
     first of equal regions stays, else all go.
     """
     anchors = all_regions(docs, tokens, window, gram)
-    again = anchors.groupBy("anchor").count().where("count > 1").select("anchor")
+    # Written, so that both sides of the join are dealt afresh and a hot anchor can be split.
+    again, _ = materialize(anchors.groupBy("anchor").count().where("count > 1").select("anchor"), "anchors")
     found, _ = materialize(anchors.join(again, "anchor", "left_semi"), "regions")
     first = F.min(F.struct(F.col("doc_id"), F.col("tag"), F.col("place"), F.col("extent"))).alias("first")
     classes, _ = materialize(found.groupBy("anchor", "content").agg(first, (F.count("*") > 1).alias("many")), "classes")
@@ -128,9 +129,14 @@ def extents(extent: int) -> tuple[int, int]:
     return extent >> _BITS, extent & ((1 << _BITS) - 1)
 
 
+def by_document(ranges: DataFrame) -> DataFrame:
+    """``(_d, _t, ranges)``: the ranges of each document as one list."""
+    return ranges.groupBy(*KEYS).agg(F.collect_list(F.struct("a", "b")).alias("ranges")).select(F.col("doc_id").alias("_d"), F.col("tag").alias("_t"), "ranges")
+
+
 def with_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Documents with the ``a`` and ``b`` lists of their ranges, null where they have none."""
-    per = ranges.groupBy(*KEYS).agg(F.collect_list(F.struct("a", "b")).alias("ranges")).select(F.col("doc_id").alias("_d"), F.col("tag").alias("_t"), "ranges")
+    """Documents with the list of their ranges, null where they have none."""
+    per = by_document(ranges)
     return docs.join(per, docs["doc_id"].eqNullSafe(per["_d"]) & docs["tag"].eqNullSafe(per["_t"]), "left").select("doc_id", "text", "ranges")
 
 

@@ -14,6 +14,7 @@ spanning forest of its links, so groups of copies never become pairs.
 
 from __future__ import annotations
 
+import math
 from itertools import accumulate
 
 import numpy as np
@@ -22,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrazzo.llm.anchors import mixed
 from terrazzo.llm.tiles import by_group, grouped, join_labels, tiled
 from terrazzo.operators.components import connected_components
 from terrazzo.storage import materialize
@@ -116,14 +118,23 @@ class GrayIndex:
             yield who + at, self.order[node]
 
 
-def link_tile(codes: np.ndarray, lower: np.ndarray, same: bool, bound: int) -> np.ndarray:
-    """Labels of a tile's codes: members of the first chunk query the index of the second."""
+def link_tile(codes: np.ndarray, lower: np.ndarray, same: bool, bound: int, close=None) -> np.ndarray:
+    """Labels of a tile's codes: members of the first chunk query the index of the second.
+
+    ``close(a, b)`` may decide further which of the pairs found link.
+    """
     labels = np.arange(len(codes))
     left = np.flatnonzero(lower) if not same else labels
     right = np.flatnonzero(~lower) if not same else labels
     index = GrayIndex(codes[right])
     for a, b in index.within(codes[left], bound):
-        labels = join_labels(labels, left[a], right[b])
+        a, b = left[a], right[b]
+        apart = labels[a] != labels[b]
+        a, b = a[apart], b[apart]
+        if close is not None and len(a):
+            near = close(a, b)
+            a, b = a[near], b[near]
+        labels = join_labels(labels, a, b)
     return labels
 
 
@@ -166,5 +177,97 @@ def near_duplicates(docs: DataFrame, words: int = 5, bits: int = 4) -> DataFrame
     return prints.join(classes, F.col("fp") == F.col("_fp")).select("doc_id", text.alias("fingerprint"), "component_id")
 
 
+#: Further 64-bit words of a wide fingerprint, and how the angle it shows may exceed the one asked for.
+WIDE, SLACK = 4, 1.0
+#: Bits of the first word in which the fingerprints of similar texts may differ.
+REACH = 12
+
+
+def wide_fingerprint(hashes: np.ndarray) -> list[int]:
+    """``WIDE`` fingerprint words, each over another scrambling of the hashes."""
+    out = [fingerprint(hashes)]
+    for _ in range(WIDE - 1):
+        hashes = mixed(hashes + np.uint64(0x9E3779B97F4A7C15))
+        out.append(fingerprint(hashes))
+    return out
+
+
+def angle_bits(similarity: float) -> float:
+    """Differing bits, over a wide fingerprint, of two equally large sets of that Jaccard similarity.
+
+    One standard deviation is added, so that few pairs at the bound are lost.
+    """
+    bits = 64 * WIDE
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return bits * p + SLACK * math.sqrt(bits * p * (1 - p))
+
+
+def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``(doc_id, fingerprint, component_id)``: classes of texts of at least that similarity.
+
+    Similarity is the Jaccard share of shingle sets as wide fingerprints show
+    it. Candidates differ in at most ``REACH`` bits of the first word and have
+    shingle counts whose ratio allows the similarity; of those, pairs whose
+    whole fingerprints are close enough link. Classes of equal fingerprints
+    are collapsed first, and tasks emit spanning forests. Nulls, short texts
+    and repeated rows as in ``near_duplicates``, except that blank texts are
+    only similar to each other.
+    """
+
+    def prints(batches):
+        for batch in batches:
+            hashes = [shingle_hashes(t, words) for t in batch.column(1).to_pylist()]
+            fp = np.array([wide_fingerprint(h) for h in hashes], np.uint64).reshape(-1, WIDE).view(np.int64)
+            size = pa.array([len(h) for h in hashes], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, fp.T.copy()), size], ["doc_id", *names, "size"])
+
+    names = [f"fp{k}" for k in range(WIDE)]
+    schema = "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", size long"
+    rows, _ = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(prints, schema), "simhash")
+    reps, _ = materialize(rows.groupBy(*names).agg(F.min("doc_id").alias("rep"), F.min("size").alias("size")), "simhash-reps")
+    cuts = [round(k * 64 / (REACH + 1)) for k in range(REACH + 2)]
+    part = F.floor(F.log(F.col("size").cast("double")) / -math.log(similarity)).cast("int") + 1
+    blocks = [F.shiftrightunsigned("fp0", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) + F.lit(k << 8) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    able = reps.where("rep is not null and size > 0").withColumn("part", F.explode(F.array(part, part - 1)))
+    spread = able.withColumn("block", F.explode(F.array(*blocks))).withColumn("block", (F.col("part").cast("long") * 65536) + F.col("block"))
+    dealt = tiled(spread, "block", "rep", TILE)
+    keys, bound, ratio = ["block", "_lo", "_hi"], angle_bits(similarity), similarity
+
+    def run(batches):
+        for t in by_group(batches, keys):
+            words_ = np.stack([t.column(n).to_numpy().view(np.uint64) for n in names])
+            size, reps = t.column("size").to_numpy(), t.column("rep").to_numpy()
+            lo, hi = t.column("_lo")[0].as_py(), t.column("_hi")[0].as_py()
+            lower = t.column("_mine").to_numpy() == lo
+
+            def close(a, b, w=words_, size=size):
+                far = sum(np.bitwise_count(x[a] ^ x[b]).astype(np.int64) for x in w)
+                return (far <= bound) & (np.minimum(size[a], size[b]) >= ratio * np.maximum(size[a], size[b]))
+
+            labels = link_tile(words_[0], lower, lo == hi, REACH, close)
+            linked = np.flatnonzero(labels != np.arange(len(labels)))
+            if len(linked):
+                yield pa.RecordBatch.from_arrays([pa.array(reps[linked]), pa.array(reps[labels[linked]])], ["a", "b"])
+
+    found = connected_components(grouped(dealt.select(*keys, "_mine", *names, "size", "rep"), keys).mapInArrow(run, "a long, b long"))
+    classes = reps.join(found, F.col("rep") == F.col("node"), "left").select(*[F.col(n).alias(f"_{n}") for n in names], F.coalesce("component", "rep").alias("component_id"))
+    match = [F.col(n) == F.col(f"_{n}") for n in names]
+    text = F.lower(F.concat(*[F.lpad(F.hex(n), 16, "0") for n in names]))
+    return rows.join(classes, match).select("doc_id", text.alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Rows of ``docs``, all columns, one of each class of ``similar``: the one of the smallest id.
+
+    Of rows that repeat an id one stays; rows without an id stay where their
+    text equals no row's that has one, once for each text.
+    """
+    found = similar(docs, words, similarity).where(F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    kept = found.select(F.col("doc_id").alias("_id")).distinct()
+    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    again = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    return rows.dropDuplicates([c for c in ("doc_id", "text")]) if again else rows
+
+
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=4, bits=4)

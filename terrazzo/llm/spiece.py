@@ -15,6 +15,7 @@ import hashlib
 import re
 import struct
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -125,6 +126,8 @@ class Model:
         self.plain = not self.charmap.units and not self.squeeze and self.escape
         self.cache: dict[str, str] = {}
         self.old: dict[str, str] = {}
+        self.packed: dict[str, tuple[bytes, bytes]] = {}
+        self.older: dict[str, tuple[bytes, bytes]] = {}
 
     def normalise(self, text: str) -> tuple[str, list[int], list[int]]:
         """Normalised text and, for each of its characters, the source byte span."""
@@ -216,7 +219,10 @@ class Model:
         for c in self.chunks.findall(s):
             for p in self._pieces(c):
                 a, e = starts[at], ends[at + len(p) - 1]
-                out += [(i, a, e) for i in self._piece_ids(p)]
+                ids = self._piece_ids(p)
+                # Byte pieces of a character left as it was cover a byte each.
+                each = len(ids) > 1 and len(ids) == e - a
+                out += [(i, a + k, a + k + 1) if each else (i, a, e) for k, i in enumerate(ids)]
                 at += len(p)
         return out
 
@@ -290,6 +296,42 @@ class Model:
             return self._sub(chunk)
         return self._remember(chunk, lambda: ",".join(map(self._sub, parts)))
 
+    def arrays(self, text: str) -> tuple[np.ndarray, np.ndarray, str]:
+        """Ids, the source byte at which each piece ends, and the decoded text."""
+        if not self.plain or not self.bytes or SPACE in text:
+            spans = self.encode_spans(text)
+            ids = [i for i, _, _ in spans]
+            return np.array(ids, np.int32), np.array([e for _, _, e in spans], np.int32), self.decode(ids)
+        s = self._normal(text)
+        if not s:
+            return np.zeros(0, np.int32), np.zeros(0, np.int32), ""
+        pairs = list(map(self.packed.get, chunks := self.chunks.findall(s)))
+        if None in pairs:
+            pairs = [a or self._pack(c) for a, c in zip(pairs, chunks)]
+        ids = np.frombuffer(b"".join([a for a, _ in pairs]), np.int32)
+        sizes = np.frombuffer(b"".join([b for _, b in pairs]), np.int32)
+        ends = np.cumsum(sizes)
+        if self.prefix:
+            ends -= 1
+        back = s.replace(SPACE, " ")
+        return ids, ends.astype(np.int32), back[1:] if self.prefix and back[0] == " " else back
+
+    def _pack(self, chunk: str) -> tuple[bytes, bytes]:
+        got = self.older.get(chunk)
+        if got is None:
+            pieces = [p for part in (self.split(chunk) if self.pairs is not None else [chunk]) for p in self._pieces(part)]
+            ids, sizes = [], []
+            for p in pieces:
+                own = self._piece_ids(p)
+                ids += own
+                sizes += [len(p.encode()) - 2 * p.count(SPACE)] if len(own) == 1 else [1] * len(own)
+            got = (np.array(ids, np.int32).tobytes(), np.array(sizes, np.int32).tobytes())
+        if len(chunk) < 40:
+            if len(self.packed) >= CACHE:
+                self.older, self.packed = self.packed, {}
+            self.packed[chunk] = got
+        return got
+
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids, digest of the ids, digest of the decoded text.
 
@@ -369,6 +411,38 @@ def tokens(docs: DataFrame, model_path: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>, starts array<int>, ends array<int>")
 
 
+def encoded(docs: DataFrame, model_path: str) -> DataFrame:
+    """``(doc_id, source, n_tokens, ids, ends, decoded)``, one row per input row.
+
+    ``ends`` holds, for each id, the byte of the original text at which its
+    piece ends; pieces follow one another, so each starts where the one before
+    it ends. Null and empty texts give empty arrays and an empty ``decoded``.
+    """
+    blob = load(model_path)
+    kind = pa.list_(pa.int32())
+
+    def lists(arrays: list[np.ndarray]) -> pa.Array:
+        offsets = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
+        flat = np.concatenate(arrays) if arrays else np.zeros(0, np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32), pa.int32())).cast(kind)
+
+    def run(batches):
+        model = shared(blob)
+        for batch in batches:
+            # A part of a batch at a time: ids take more room than their text.
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                rows = [model.arrays(t or "") for t in part.column(2).to_pylist()]
+                ids, ends = ([r[k] for r in rows] for k in (0, 1))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array([len(i) for i in ids], pa.int64()), lists(ids), lists(ends), pa.array([r[2] for r in rows], pa.string())],
+                    ["doc_id", "source", "n_tokens", "ids", "ends", "decoded"],
+                )
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
+    return rows.mapInArrow(run, "doc_id long, source string, n_tokens long, ids array<int>, ends array<int>, decoded string")
+
+
 def default_model() -> str:
     import public_tokenizers
 

@@ -22,6 +22,7 @@ from dataclasses import dataclass, field
 from itertools import product
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -227,6 +228,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
 
 
+def reject(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs``, all columns, without rows that score at or above ``threshold``."""
+
+    @F.pandas_udf("double")
+    def scored(text: pd.Series) -> pd.Series:
+        return pd.Series([model.score(t) for t in text], dtype=float)
+
+    return docs.where(scored("text") < threshold)
+
+
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     scored = score(docs, fit(docs, labels))
