@@ -23,8 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrazzo.llm.tiles import join_labels, tiled
+from terrazzo.llm.tiles import tiled
 from terrazzo.operators.components import connected_components
+from terrazzo.operators.labels import merge_labels
 from terrazzo.storage import materialize
 
 COSINE = 0.95
@@ -151,7 +152,7 @@ def links(vectors: DataFrame, dim: int, cosine: float, n: int) -> DataFrame:
                 new = ~(keys[x, :t] == keys[y, :t]).any(1) if t else np.ones(len(x), bool)
                 np.add.at(total, x[new], weight[y[new]])
                 np.add.at(total, y[new], weight[x[new]])
-                labels = join_labels(labels, x, y)
+                labels = merge_labels(labels, x, y)
             some = np.flatnonzero((total > 0) | (labels != np.arange(len(rep))))
             if len(some):
                 other = pa.array(rep[labels[some]], mask=labels[some] == some)

@@ -24,8 +24,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrazzo.llm.anchors import mixed
-from terrazzo.llm.tiles import by_group, grouped, join_labels, tiled
+from terrazzo.llm.tiles import by_group, grouped, tiled
 from terrazzo.operators.components import connected_components
+from terrazzo.operators.labels import merge_labels
 from terrazzo.storage import materialize
 
 FAN = 8
@@ -134,7 +135,7 @@ def link_tile(codes: np.ndarray, lower: np.ndarray, same: bool, bound: int, clos
         if close is not None and len(a):
             near = close(a, b)
             a, b = a[near], b[near]
-        labels = join_labels(labels, a, b)
+        labels = merge_labels(labels, a, b)
     return labels
 
 

@@ -8,7 +8,7 @@ rows, and a hot bucket is spread over as many tasks as it has chunk pairs.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -74,19 +74,3 @@ def by_group(batches: Iterator[pa.RecordBatch], keys: list[str], few: int = 2) -
         last = tuple(c[-1] for c in cols)
     if sum(b.num_rows for b in held) >= few:
         yield pa.Table.from_batches(held)
-
-
-def join_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray, compress: Callable | None = None) -> np.ndarray:
-    """Labels (a smallest member each) after linking ``a[k]`` with ``b[k]``."""
-    while True:
-        x, y = labels[a], labels[b]
-        apart = x != y
-        if not apart.any():
-            return labels
-        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-        np.minimum.at(labels, np.maximum(x, y), np.minimum(x, y))
-        while True:
-            up = labels[labels]
-            if (up == labels).all():
-                break
-            labels = up
