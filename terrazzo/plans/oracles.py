@@ -30,7 +30,7 @@ def labelled(raster: str, width: int) -> str:
     return f"""{cells(raster, width)},
   sym AS MATERIALIZED (SELECT s, t FROM edges UNION ALL SELECT t, s FROM edges),
   reach(n, l) USING KEY (n) AS (SELECT n, n FROM cells UNION
-    SELECT sym.t, min(reach.l) FROM reach JOIN sym ON sym.s = reach.n JOIN recurring.reach rr ON rr.n = sym.t WHERE reach.l < rr.l GROUP BY sym.t),
+    SELECT x.t, x.m FROM (SELECT sym.t, min(reach.l) AS m FROM reach JOIN sym ON sym.s = reach.n GROUP BY sym.t) x JOIN recurring.reach rr ON rr.n = x.t WHERE x.m < rr.l),
   lab AS MATERIALIZED (SELECT c.n, c.i, c.j, c.v, r.l AS cluster_id FROM cells c JOIN reach r ON r.n = c.n)"""
 
 
@@ -66,6 +66,8 @@ MONTHS = """pts AS (SELECT row_number() OVER (ORDER BY m) - 1 AS k, x, y FROM (S
   win AS (SELECT a.k AS start, b.k - a.k + 1 AS width FROM pts a JOIN pts b ON b.k >= a.k + 4),
   fit AS (SELECT start, width, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, CASE WHEN regr_syy(y, x) > 0 THEN corr(y, x) END AS r, regr_syy(y, x) - regr_sxy(y, x) * regr_sxy(y, x) / regr_sxx(y, x) AS ssr
     FROM win JOIN pts ON pts.k BETWEEN start AND start + width - 1 GROUP BY start, width)"""
+#: Keeps rounded regressions clear of exact halves and of minus zero.
+OFF = 1.3e-8
 EVENTS = """span AS (SELECT event_type, min(value) AS lo, max(value) AS hi FROM events WHERE value IS NOT NULL GROUP BY 1)"""
 
 
@@ -146,14 +148,14 @@ ORACLES: dict[str, str] = {
     "box_entropy": f"""WITH {BOXES}, t AS (SELECT v, eps, sum(mass)::DOUBLE AS total FROM boxes GROUP BY v, eps), f AS (SELECT b.v, b.eps, mass, total, height::DOUBLE * 50.0::DOUBLE / nx / ny AS cell FROM boxes b JOIN t ON t.v = b.v AND t.eps = b.eps CROSS JOIN dim)
       SELECT v, eps, round(sqrt(cell), 9) AS scale, round(sum(mass / cell * ln(mass / cell)), 6) AS entropy, round(-sum(mass / total * ln(mass / total)), 6) AS shannon FROM f GROUP BY v, eps, cell""",
     "fractal_dimension": f"WITH {BOXES}, c AS (SELECT v, eps, log10(height::DOUBLE / nx) AS lx, log10(count(*)) AS ly FROM boxes CROSS JOIN dim GROUP BY v, eps, nx, height) SELECT v, round(-regr_slope(ly, lx), 9) AS dimension, round(regr_r2(ly, lx), 9) AS r2, count(*) AS scales FROM c GROUP BY v",
-    "window_regression": f"WITH {MONTHS} SELECT start, width, round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(r, 6) AS r, round(ssr, 6) AS ssr, round(ssr / width, 6) AS mssr FROM fit",
-    "best_linear_window": f"WITH {MONTHS} SELECT start, width, round(slope, 6) AS slope, round(r, 6) AS r FROM fit WHERE r IS NOT NULL ORDER BY round(ssr / width, 9), round(r, 9) DESC, start, width DESC LIMIT 1",
+    "window_regression": f"WITH {MONTHS} SELECT start, width, round(slope + {OFF}::DOUBLE, 6) AS slope, round(intercept + {OFF}::DOUBLE, 6) AS intercept, round(r + {OFF}::DOUBLE, 6) AS r, round(ssr + {OFF}::DOUBLE, 6) AS ssr, round(ssr / width + {OFF}::DOUBLE, 6) AS mssr FROM fit",
+    "best_linear_window": f"WITH {MONTHS} SELECT start, width, round(slope + {OFF}::DOUBLE, 6) AS slope, round(r + {OFF}::DOUBLE, 6) AS r FROM fit WHERE r IS NOT NULL ORDER BY round(ssr / width, 9), round(r, 9) DESC, start, width DESC LIMIT 1",
     "quadtree_leaves": f"WITH {QUAD} SELECT code, level, color FROM leaves",
     "quadtree_neighbors": f"WITH {QUAD} SELECT code, level, d::INTEGER AS d, to_code, to_level, to_color FROM met",
     "quadtree_level_diff": f"""WITH {QUAD}, df AS (SELECT s.code, s.level, s.d, coalesce(m.to_level - s.level, 1) AS diff FROM sides s LEFT JOIN met m ON m.code = s.code AND m.level = s.level AND m.d = s.d)
       SELECT l.code, l.level, l.color, {", ".join(f"max(CASE WHEN d = {k} THEN diff END)::INTEGER AS {n}" for k, n in enumerate(("east", "north", "west", "south")))} FROM leaves l LEFT JOIN df ON df.code = l.code AND df.level = l.level GROUP BY ALL""",
     "quadtree_components": f"""WITH RECURSIVE {QUAD}, pr AS MATERIALIZED (SELECT code AS s, to_code AS t FROM met WHERE color = to_color UNION ALL SELECT to_code, code FROM met WHERE color = to_color),
-      reach(n, l) USING KEY (n) AS (SELECT code, code FROM leaves UNION SELECT pr.t, min(reach.l) FROM reach JOIN pr ON pr.s = reach.n JOIN recurring.reach rr ON rr.n = pr.t WHERE reach.l < rr.l GROUP BY pr.t)
+      reach(n, l) USING KEY (n) AS (SELECT code, code FROM leaves UNION SELECT x.t, x.m FROM (SELECT pr.t, min(reach.l) AS m FROM reach JOIN pr ON pr.s = reach.n GROUP BY pr.t) x JOIN recurring.reach rr ON rr.n = x.t WHERE x.m < rr.l)
       SELECT code, level, color, l AS component FROM leaves JOIN reach ON n = code""",
     "quadtree_locate": f"WITH {QUAD} SELECT code, level, color FROM boxed WHERE 100 BETWEEN x0 AND x0 + side - 1 AND 25 BETWEEN y0 AND y0 + side - 1",
     "block_colors": f"WITH {E} SELECT i // 8 AS bx, j // 8 AS by, CASE WHEN bool_and(v = 1) THEN 'black' WHEN bool_or(v = 1) THEN 'gray' ELSE 'white' END AS color FROM e GROUP BY 1, 2",
