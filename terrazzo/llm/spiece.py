@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 #: Chunks whose pieces a task remembers.
 CACHE = 300_000
+#: The same with lengths, for ``arrays``: two generations of it take some 50 MB.
+PACKED = 120_000
 #: Score of a pair that is no piece.
 NEVER = float("-inf")
 EMPTY = hashlib.sha256(b"").hexdigest()
@@ -126,8 +128,8 @@ class Model:
         self.plain = not self.charmap.units and not self.squeeze and self.escape
         self.cache: dict[str, str] = {}
         self.old: dict[str, str] = {}
-        self.packed: dict[str, tuple[bytes, bytes]] = {}
-        self.older: dict[str, tuple[bytes, bytes]] = {}
+        self.packed: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def normalise(self, text: str) -> tuple[str, list[int], list[int]]:
         """Normalised text and, for each of its characters, the source byte span."""
@@ -305,29 +307,26 @@ class Model:
         s = self._normal(text)
         if not s:
             return np.zeros(0, np.int32), np.zeros(0, np.int32), ""
-        pairs = list(map(self.packed.get, chunks := self.chunks.findall(s)))
-        if None in pairs:
-            pairs = [a or self._pack(c) for a, c in zip(pairs, chunks)]
-        ids = np.frombuffer(b"".join([a for a, _ in pairs]), np.int32)
-        sizes = np.frombuffer(b"".join([b for _, b in pairs]), np.int32)
-        ends = np.cumsum(sizes)
-        if self.prefix:
-            ends -= 1
+        packs = list(map(self.packed.get, chunks := self.chunks.findall(s)))
+        if None in packs:
+            packs = [a or self._pack(c) for a, c in zip(packs, chunks)]
+        both = np.frombuffer(b"".join(packs), np.uint32)
+        ends = np.cumsum(both & 255, dtype=np.int64) - (1 if self.prefix else 0)
         back = s.replace(SPACE, " ")
-        return ids, ends.astype(np.int32), back[1:] if self.prefix and back[0] == " " else back
+        return (both >> 8).astype(np.int32), ends.astype(np.int32), back[1:] if self.prefix and back[0] == " " else back
 
-    def _pack(self, chunk: str) -> tuple[bytes, bytes]:
+    def _pack(self, chunk: str) -> bytes:
+        """Ids of a chunk, each with the bytes its piece covers in the low eight bits."""
         got = self.older.get(chunk)
         if got is None:
-            pieces = [p for part in (self.split(chunk) if self.pairs is not None else [chunk]) for p in self._pieces(part)]
-            ids, sizes = [], []
-            for p in pieces:
-                own = self._piece_ids(p)
-                ids += own
-                sizes += [len(p.encode()) - 2 * p.count(SPACE)] if len(own) == 1 else [1] * len(own)
-            got = (np.array(ids, np.int32).tobytes(), np.array(sizes, np.int32).tobytes())
+            out = []
+            for part in self.split(chunk) if self.pairs is not None else [chunk]:
+                for p in self._pieces(part):
+                    own = self._piece_ids(p)
+                    out += [own[0] << 8 | len(p.encode()) - 2 * p.count(SPACE)] if len(own) == 1 else [i << 8 | 1 for i in own]
+            got = np.array(out, np.uint32).tobytes()
         if len(chunk) < 40:
-            if len(self.packed) >= CACHE:
+            if len(self.packed) >= PACKED:
                 self.older, self.packed = self.packed, {}
             self.packed[chunk] = got
         return got
