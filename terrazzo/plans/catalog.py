@@ -9,7 +9,7 @@ from terrazzo.functions import address
 from terrazzo.operators import clusters, fractal, patches, points, quadtree, regress, series, topology
 from terrazzo.plans import oracles
 from terrazzo.raster import Raster, grid
-from terrazzo.sources import synth
+from terrazzo.sources import files, runs, synth
 from terrazzo.streaming.cells import category_counts
 
 TILE = 32
@@ -147,6 +147,30 @@ def cell_stream_counts(spark, d):
     return category_counts(_events(spark, d).select("ts", (F.col("user_id") % 4).cast("int").alias("v")))
 
 
+def storage_orders(spark, d):
+    """Slots of one raster in every storage order, side by side."""
+    orders = ("linear", "blocked", "full_blocked", "morton")
+    parts = [synth.make_data(spark, 96, 64, TILE, 60, o).withColumnRenamed("slot", o) for o in orders]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(p.drop("v"), ["i", "j"])
+    return out.select("i", "j", "v", *orders)
+
+
+def quad_children(spark, d):
+    h = grid(spark, 64, 64).select((address.morton("i", "j") * 64).alias("code"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("q"))
+    return h.select("code", F.col("q").alias("quarter"), address.child("code", F.lit(6), 9, F.col("q")).alias("child"))
+
+
+def running_events(spark, d):
+    by = _events(spark, d).groupBy("event_type", F.to_date("ts").cast("string").alias("day")).agg(F.count("*").alias("events"))
+    return series.running_total(by, "event_type", "day", "events").select("event_type", "day", "events", F.col("before").cast("long").alias("before"))
+
+
+def shuffled(spark, d):
+    return series.shuffle(_events(spark, d).select("event_id"), seed=3)
+
+
 def delaunay_edges(spark, d):
     r = _l(spark, d)
     return points.delaunay_edges(r.category(3), window=64)
@@ -187,6 +211,13 @@ QUERIES = {
     "run_overlaps": lambda s, d: topology.run_overlaps(_e(s, d).runs()),
     "seen_neighbors": lambda s, d: topology.seen_neighbors(_e(s, d)),
     "multi_value": lambda s, d: synth.multi_value(s, 100, 100, 0, 25).cells,
+    "storage_orders": storage_orders,
+    "quad_children": quad_children,
+    "shuffled": shuffled,
+    "pgm_lines": lambda s, d: files.pgm_lines(_l(s, d), 3),
+    "run_text": lambda s, d: runs.lines(_events(s, d).where("user_id < 20").selectExpr("event_type as test", "event_id as seq", "1L as iterations", "user_id as ns")),
+    "largest_clusters": lambda s, d: clusters.sizes(_labels_l(s, d)).orderBy(F.desc("size"), "cluster_id").limit(10),
+    "running_events": running_events,
     "cluster_labels": lambda s, d: _labels_e(s, d).select("n", "v", "cluster_id"),
     "cluster_labels_tiled": lambda s, d: clusters.label(_l(s, d), tile=TILE).select("n", "v", "cluster_id"),
     "cluster_labels_runs": lambda s, d: clusters.label(_e(s, d), strategy="runs").select("n", "v", "cluster_id"),

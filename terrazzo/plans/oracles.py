@@ -86,6 +86,7 @@ def rectangles(r0: int, r1: int, c0: int, c1: int, lo: int, hi: int):
 
 
 _M = ", ".join(str(r) for r in rectangles(0, 100, 0, 100, 0, 25))
+_M2 = ", ".join(str(r) for r in rectangles(0, 96, 0, 64, 0, 60))
 
 ORACLES: dict[str, str] = {
     "unique_values": f"WITH {E}, {L} SELECT DISTINCT 'E' AS raster, v FROM e UNION ALL SELECT DISTINCT 'L', v FROM l",
@@ -122,6 +123,13 @@ ORACLES: dict[str, str] = {
     "run_overlaps": f"WITH {RUNS} SELECT a.i, a.j0, b.j0 AS below FROM runs a JOIN runs b ON b.i = a.i + 1 AND b.v = a.v WHERE a.j0 <= b.j1 AND b.j0 <= a.j1",
     "seen_neighbors": f"WITH {E}, {cells('e', W_E)} SELECT DISTINCT t AS n FROM edges",
     "multi_value": f"SELECT i, j, v::INTEGER AS v FROM (SELECT c0, c1, v, unnest(range(r0, r1))::BIGINT AS i FROM (VALUES {_M}) AS t(r0, r1, c0, c1, v)) CROSS JOIN LATERAL (SELECT unnest(range(c0, c1))::BIGINT AS j)",
+    "storage_orders": f"""WITH m AS (SELECT i, j, v::INTEGER AS v FROM (SELECT c0, c1, v, unnest(range(r0, r1))::BIGINT AS i FROM (VALUES {_M2}) AS t(r0, r1, c0, c1, v)) CROSS JOIN LATERAL (SELECT unnest(range(c0, c1))::BIGINT AS j))
+      SELECT i, j, v, i * 64 + j AS linear, (i * 64 + j) // 1024 * 1024 + (i * 64 + j) % 1024 // 32 + (i * 64 + j) % 32 * 32 AS blocked, (i // 32 * 2 + j // 32) * 1024 + i % 32 * 32 + j % 32 AS full_blocked, {morton('i', 'j', 7)} AS morton FROM m""",
+    "quad_children": f"SELECT c AS code, q::INTEGER AS quarter, c + q * 16 AS child FROM (SELECT 64 * {morton('i', 'j', 6)} AS c FROM (SELECT unnest(range(0, 64)) AS i) CROSS JOIN (SELECT unnest(range(0, 64)) AS j)) CROSS JOIN (SELECT unnest(range(0, 4)) AS q)",
+    "pgm_lines": f"WITH {L} SELECT height - i AS place, string_agg(v::VARCHAR, ' ' ORDER BY j) AS line FROM l CROSS JOIN dim GROUP BY height, i UNION ALL SELECT 0, 'P2 50 ' || height::VARCHAR || ' 3' FROM dim",
+    "run_text": "SELECT event_type AS test, event_type || chr(9) || string_agg('1 ' || user_id::VARCHAR, ' ' ORDER BY event_id) AS line FROM events WHERE user_id < 20 GROUP BY 1",
+    "largest_clusters": f"{LL} SELECT v, cluster_id, count(*) AS size FROM lab GROUP BY ALL ORDER BY size DESC, cluster_id LIMIT 10",
+    "running_events": "SELECT event_type, day, events, coalesce(sum(events) OVER (PARTITION BY event_type ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM (SELECT event_type, ts::DATE::VARCHAR AS day, count(*) AS events FROM events GROUP BY 1, 2)",
     "cluster_labels": f"{EL} SELECT n, v, cluster_id FROM lab",
     "cluster_labels_tiled": f"{LL} SELECT n, v, cluster_id FROM lab",
     "cluster_labels_runs": f"{EL} SELECT n, v, cluster_id FROM lab",
