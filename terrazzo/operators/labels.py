@@ -6,7 +6,10 @@ import numpy as np
 
 
 def merge_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Labels (a smallest member each) after linking members ``a[k]`` and ``b[k]``."""
+    """Labels (a smallest member each) after linking members ``a[k]`` and ``b[k]``.
+
+    ``labels`` is changed in place.
+    """
     while True:
         x, y = labels[a], labels[b]
         apart = x != y
