@@ -124,9 +124,9 @@ def link_tile(codes: np.ndarray, lower: np.ndarray, same: bool, bound: int, clos
 
     ``close(a, b)`` may decide further which of the pairs found link.
     """
-    labels = np.arange(len(codes))
-    left = np.flatnonzero(lower) if not same else labels
-    right = np.flatnonzero(~lower) if not same else labels
+    labels, every = np.arange(len(codes)), np.arange(len(codes))
+    left = np.flatnonzero(lower) if not same else every
+    right = np.flatnonzero(~lower) if not same else every
     index = GrayIndex(codes[right])
     for a, b in index.within(codes[left], bound):
         a, b = left[a], right[b]

@@ -48,6 +48,16 @@ def test_gray_index_finds_all_pairs():
     assert ranks.tolist() == list(range(16))
 
 
+def test_tile_asks_about_the_pairs_themselves(monkeypatch):
+    monkeypatch.setattr(simhash, "FRONTIER", 64)
+    rng = np.random.default_rng(4)
+    codes = np.unique(rng.integers(0, 1 << 20, 60, dtype=np.uint64))
+    asked = []
+    simhash.link_tile(codes, np.ones(len(codes), bool), True, 6, lambda a, b: asked.append((a.copy(), b.copy())) or np.ones(len(a), bool))
+    pairs = [(x, y) for a, b in asked for x, y in zip(a.tolist(), b.tolist())]
+    assert pairs and all(int(codes[x] ^ codes[y]).bit_count() <= 6 for x, y in pairs)
+
+
 def test_links_match_brute_force(spark, monkeypatch):
     monkeypatch.setattr(simhash, "TILE", 50)
     rng = np.random.default_rng(2)
