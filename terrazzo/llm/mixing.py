@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
-STRATUM = 2048
+STRATUM = 512
 
 
 def word_count(text: Column) -> Column:
@@ -127,7 +127,7 @@ joined AS (SELECT s.doc_id, s.source, s.size, t.source_size, t.target, t.source_
   CASE WHEN t.source_size > 0 THEN t.target / t.source_size::DOUBLE ELSE 0.0::DOUBLE END AS rate,
   md5('mix:' || coalesce(s.doc_id::VARCHAR, 'null')) AS key
   FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
-dealt AS (SELECT *, ('0x' || key[1:8])::BIGINT % ceil(source_docs / 2048.0)::BIGINT AS stratum FROM joined),
+dealt AS (SELECT *, ('0x' || key[1:8])::BIGINT % ceil(source_docs / 512.0)::BIGINT AS stratum FROM joined),
 quotas AS (SELECT *, floor((rate - floor(rate)) * (sum(size) OVER (PARTITION BY source, stratum))::DOUBLE)::BIGINT AS quota,
   sum(size) OVER (PARTITION BY source, stratum ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM dealt)
 SELECT doc_id, size, source_size, target,
