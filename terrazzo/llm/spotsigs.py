@@ -32,7 +32,7 @@ _BETWEEN = rf" {_STOP}(?= )"
 #: With fewer spots than one in so many words, every word is a spot.
 SPARSE = 8
 #: Documents of a bucket of neighbouring ids; pieces of the id distribution.
-BUCKET, PIECES = 2048, 200
+BUCKET, PIECES = 256, 200
 
 
 def with_signatures(df: DataFrame, text: str, name: str) -> DataFrame:
@@ -64,8 +64,8 @@ def likeness(a: str, b: str) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(both / either)
 
 
-def buckets(docs: DataFrame) -> Column:
-    """Expression that deals ``doc_id`` into ordered buckets of about ``BUCKET`` rows.
+def buckets(docs: DataFrame) -> tuple[Column, int]:
+    """Expression that deals ``doc_id`` into ordered buckets of about ``BUCKET`` rows, and buckets per piece.
 
     The distribution of ids is taken as linear between ``PIECES`` quantiles,
     so ids may be spread in any way; null ids come last, in a bucket of their own.
@@ -79,7 +79,7 @@ def buckets(docs: DataFrame) -> Column:
     high = F.element_at(bounds, F.least(piece + 1, F.lit(len(cuts))))
     part = F.floor((F.col("doc_id") - low).cast("double") / F.greatest(F.lit(1), high - low + 1).cast("double") * fine)
     inside = F.greatest(F.lit(0), F.least(F.lit(fine - 1), part))
-    return F.coalesce(piece.cast("long") * fine + inside, F.lit((PIECES + 2) * fine))
+    return F.coalesce(piece.cast("long") * fine + inside, F.lit((PIECES + 2) * fine)).cast("long"), fine
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -90,19 +90,18 @@ def with_next(docs: DataFrame) -> DataFrame:
     each bucket is also dealt to the end of the bucket before it.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    keyed = rows.withColumn("tag", F.xxhash64("text")).withColumn("bucket", buckets(rows))
-    # One row per bucket of thousands of documents.
+    bucket, fine = buckets(rows)
+    keyed = rows.withColumn("tag", F.xxhash64("text")).withColumn("bucket", bucket)
     spot = F.struct(F.col("doc_id").isNull().alias("void"), F.col("doc_id"), F.col("tag"))
     heads = keyed.groupBy("bucket").agg(F.min(spot).alias("head"))
-    chain = Window.orderBy("bucket")
-    every = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    heads = heads.select(
-        F.col("head.doc_id").alias("_d"),
-        F.col("head.tag").alias("_t"),
-        F.lag("bucket").over(chain).alias("_before"),
-        F.max("bucket").over(every).alias("_last"),
-    )
-    heads, _ = materialize(heads, "heads")
+    heads, _ = materialize(heads.withColumn("piece", F.call_function("div", F.col("bucket"), F.lit(fine).cast("long"))), "heads")
+    # Buckets follow one another inside a piece; of pieces there are PIECES and two more at most.
+    tails = heads.groupBy("piece").agg(F.max("bucket").alias("tail"))
+    every = Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    tails = tails.select(F.col("piece").alias("_piece"), F.lag("tail").over(Window.orderBy("piece")).alias("_tail"), F.max("tail").over(every).alias("_last"))
+    before = F.lag("bucket").over(Window.partitionBy("piece").orderBy("bucket"))
+    heads = heads.withColumn("_before", before).join(F.broadcast(tails), F.col("piece") == F.col("_piece"))
+    heads = heads.select(F.col("head.doc_id").alias("_d"), F.col("head.tag").alias("_t"), F.coalesce("_before", "_tail").alias("_before"), "_last")
     marked = keyed.join(heads, keyed["doc_id"].eqNullSafe(heads["_d"]) & (keyed["tag"] == heads["_t"]), "left")
     here = F.struct(F.col("bucket"), F.lit(0).alias("extra"))
     there = F.struct(F.coalesce("_before", "_last").alias("bucket"), F.lit(1).alias("extra"))
