@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrazzo.storage import materialize
+
 WORD = r"[^\x20\x09-\x0D]+"
 STRATUM = 512
 
@@ -70,7 +72,8 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: int = 2, se
 
 def deal(sizes: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: int = 2, seed: str = "mix") -> DataFrame:
     """``mix`` on measured rows; extra columns of ``sizes`` are carried along."""
-    targets = source_targets(sizes, weights, share, cap).withColumnRenamed("source", "_source")
+    # Written first: the planner then knows its size, and joins it to unshuffled documents while it is small.
+    targets, _ = materialize(source_targets(sizes, weights, share, cap).withColumnRenamed("source", "_source"), "targets")
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     strata = F.ceil(F.col("source_docs") / STRATUM)
     inside = Window.partitionBy("source", "_stratum")
