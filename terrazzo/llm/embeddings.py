@@ -118,7 +118,8 @@ def links(vectors: DataFrame, dim: int, cosine: float, n: int) -> DataFrame:
                 table = pa.array(np.full(batch.num_rows, t, np.int32))
                 yield pa.RecordBatch.from_arrays([pa.array(keys[:, t] * tables + t), table, *(batch.column(c) for c in ("rep", "n", "embedding"))], ["key", "table", "rep", "n", "embedding"])
 
-    spread = vectors.select("rep", "n", "embedding").mapInArrow(deal, "key long, table int, rep long, n long, embedding array<double>")
+    kind = dict(vectors.dtypes)["embedding"]
+    spread = vectors.select("rep", "n", "embedding").mapInArrow(deal, f"key long, table int, rep long, n long, embedding {kind}")
 
     def count(batches):
         tool = Projector(dim, width, tables)
@@ -197,7 +198,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """
     x = F.col("embedding")
     fit = x.isNotNull() & (F.size(x) > 0) & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists(x, lambda v: v != 0)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.cast("array<double>").alias("embedding"))
+    # Single precision is kept as it is stored; cosines are computed in double precision either way.
+    kind = "array<float>" if "array<float>" in dict(vectors.dtypes)["embedding"] else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.cast(kind).alias("embedding"))
     rows = rows.withColumn("fit", F.coalesce(fit, F.lit(False)))
     key = F.struct(F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(11), "embedding").alias("h2"))
     keyed, _ = materialize(rows.select("vec_id", "fit", key.alias("cls"), F.when(F.col("fit"), x).alias("embedding")), "vectors")
