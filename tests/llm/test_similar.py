@@ -93,6 +93,33 @@ def test_keep_one(frame, odd, none):
     assert simhash.keep_one(none).count() == 0
 
 
+def test_similar_is_exact_on_both_sides(frame, monkeypatch):
+    monkeypatch.setattr(simhash, "SETS", 20)
+    rng = random.Random(11)
+    rows, sets = [], []
+    for k in range(60):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(204)]
+        rows.append(base)
+        for cuts in (3, 4, 5, 7, 8):
+            other = base[:]
+            # Each word changed replaces five shingles of 200.
+            for at in range(cuts):
+                other[5 + at * 12] = f"x{rng.randrange(10**6)}"
+            rows.append(other)
+    rows = [(k, " ".join(w)) for k, w in enumerate(rows)]
+    sets = [set(zip(*(t.split()[j:] for j in range(5)))) for _, t in rows]
+    share = lambda a, b: len(a & b) / len(a | b)
+    linked = [(a, b) for g in range(0, 360, 6) for a in range(g, g + 6) for b in range(a) if b >= g and share(sets[a], sets[b]) >= 0.8]
+    got = {r.doc_id: r.component_id for r in simhash.similar(frame(rows)).collect()}
+    assert [got[k] for k in range(360)] == components(360, linked)
+
+
+def test_equal_fingerprints_of_unlike_sets_stay_apart(frame):
+    loud = "a b c d e f g h i j " * 200
+    rows = [(1, loud), (2, loud + " ".join(f"z{k}" for k in range(60)))]
+    assert {r.component_id for r in simhash.similar(frame(rows)).collect()} == {1, 2}
+
+
 def test_tiles_meet_every_pair_once_or_more(spark):
     rows = spark.range(40).selectExpr("id as k", "id % 3 as key")
     dealt = tiles.tiled(rows, "key", "k", 5).select("key", "_lo", "_hi", "k").collect()
