@@ -10,8 +10,10 @@ isolated words, are what the score is made of.
 
 Insult terms, words and word beginnings, and the weights of the events are
 learned from labelled rows. Learning reads at most ``MAX_ROWS`` rows, chosen by
-a hash of their id, and keeps at most ``MAX_TERMS`` terms, so what the driver
-holds does not grow with the corpus.
+a hash of their id inside each label, and keeps at most ``MAX_TERMS`` terms, so
+what the driver holds does not grow with the corpus. A label rarer than
+``LEAST`` of the rows has so many all the same, and each row then counts as
+often as it stands for others.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ from terrazzo.storage import materialize
 
 MAX_ROWS = 20_000
 MAX_TERMS = 2_000
+#: Share of the sample kept for a rare label.
+LEAST = 0.1
 #: A term is kept if it occurs in so many toxic texts, which are such a share of all it occurs in,
 #: and if that is too unlikely by chance among all terms tried, by a factor of e to the power SURE.
 MIN_TEXTS, MIN_SHARE, SURE = 4, 0.9, 1.0
@@ -136,12 +140,20 @@ def _features(text: str) -> set[str]:
     return words | {w[:k] + "*" for w in words for k in BEGINNINGS if len(w) >= k}
 
 
-def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(text, toxic)`` of at most ``MAX_ROWS`` learnable labelled rows."""
+def sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, tuple[float, float]]:
+    """``(text, toxic)`` of at most ``MAX_ROWS`` learnable labelled rows, and how much a clean and a toxic one count."""
     order = F.xxhash64(F.lit(5), "doc_id")
     rows = labels.where("toxic is not null and doc_id is not null").where(~held_out()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    rows = rows.orderBy(order, "doc_id", "toxic").limit(MAX_ROWS)
-    return docs.select("doc_id", "text").where("text is not null").join(F.broadcast(rows), "doc_id").select("text", "toxic")
+    n = [0, 0]
+    for r in rows.groupBy((F.col("toxic") > 0).alias("bad")).count().collect():
+        n[r.bad] = r["count"]
+    take, least = list(n), int(MAX_ROWS * LEAST)
+    if sum(n) > MAX_ROWS:
+        take[1] = min(n[1], max(round(MAX_ROWS * n[1] / sum(n)), least), MAX_ROWS - min(n[0], least))
+        take[0] = MAX_ROWS - take[1]
+    clean, bad = (rows.where(c).orderBy(order, "doc_id", "toxic").limit(k) for c, k in zip(("toxic <= 0", "toxic > 0"), take))
+    counts = tuple(a / b * sum(take) / sum(n) if b else 1.0 for a, b in zip(n, take))
+    return docs.select("doc_id", "text").where("text is not null").join(F.broadcast(clean.unionByName(bad)), "doc_id").select("text", "toxic"), counts
 
 
 def _counts(rows: DataFrame) -> DataFrame:
@@ -163,15 +175,22 @@ def _counts(rows: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Learn terms and event weights; without labelled rows of both kinds, a model that scores 0.5 for nothing found."""
-    rows = sample(docs, labels)
-    share = F.col("toxic") / F.col("total")
-    base = rows.agg(F.avg("toxic")).first()[0] or 1.0
+    """Learn terms and event weights.
+
+    Without labelled rows of both kinds nothing tells them apart: the model
+    scores the smoothed share of toxic rows, below ``THRESHOLD``, for every
+    text, so that none is rejected.
+    """
+    rows, (clean, bad) = sample(docs, labels)
+    heavy = F.col("toxic") * bad
+    share = heavy / (heavy + (F.col("total") - F.col("toxic")) * clean)
+    weight = F.when(F.col("toxic") > 0, bad).otherwise(clean)
+    base = rows.agg(F.sum(F.col("toxic") * weight) / F.sum(weight)).first()[0] or 1.0
     tried, _ = materialize(_counts(rows).where(F.col("toxic") >= MIN_TEXTS), "terms")
     bound = np.log(max(1, tried.count())) + SURE
     gain = F.col("toxic") * F.log(share / F.lit(float(base)))
-    kept = tried.where((share >= MIN_SHARE) & (gain >= float(bound))).orderBy(F.desc(gain), "term").limit(MAX_TERMS).collect()
-    terms = {r.term: float(r.toxic / r.total) for r in kept}
+    kept = tried.withColumn("share", share).where((share >= MIN_SHARE) & (gain >= float(bound))).orderBy(F.desc(gain), "term").limit(MAX_TERMS).collect()
+    terms = {r.term: float(r.share) for r in kept}
     model = Model(terms)
 
     def run(batches):
@@ -183,10 +202,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     # Distinct event rows are few: counts of words under conditions.
     seen = rows.mapInArrow(run, schema).groupBy(*EVENTS, "toxic").count().orderBy(F.desc("count"), *EVENTS, "toxic").limit(MAX_ROWS).collect()
     if not seen or len({r.toxic for r in seen}) < 2:
+        n, toxic = sum(r["count"] for r in seen), sum(r["count"] for r in seen if r.toxic > 0)
+        prior = min((toxic + 1) / (n + 20), THRESHOLD / 2)
+        model.bias = float(np.log(prior / (1 - prior)))
         return model
     x = np.log1p(np.array([r[: len(EVENTS)] for r in seen], float))
     y = np.array([float(r.toxic > 0) for r in seen])
-    model.weights, model.bias = logistic(x, y, np.array([r["count"] for r in seen], float))
+    model.weights, model.bias = logistic(x, y, np.array([r["count"] * (bad if r.toxic > 0 else clean) for r in seen], float))
     return model
 
 

@@ -45,6 +45,26 @@ def test_learning(frame, spark, odd, none):
     assert toxicity.fit(docs, only).terms == {}
 
 
+def test_labels_of_one_kind_reject_nothing(frame, spark):
+    docs = frame([(k, f"a plain text about rain number {k}") for k in range(40)])
+    for rows in ([], [(k, 0) for k in range(40)], [(k, 1) for k in range(40)]):
+        model = toxicity.fit(docs, spark.createDataFrame(rows, "doc_id long, toxic int"))
+        assert toxicity.reject(docs, model).count() == 40
+
+
+def test_rare_toxic_rows_are_in_the_sample(frame, spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_ROWS", 100)
+    rng = random.Random(4)
+    plain = lambda: " ".join(rng.choice("sun moon star rain wind leaf tree rock sand hill".split()) for _ in range(9))
+    bad = [k for k in range(2000) if zlib.crc32(str(k).encode()) % 4 != 2][:6]
+    docs = frame([(k, plain() + (". You are a blorg. " if k in bad else ". ") + plain()) for k in range(2000)])
+    labels = spark.createDataFrame([(k, int(k in bad)) for k in range(2000)], "doc_id long, toxic int")
+    rows, (clean, toxic) = toxicity.sample(docs, labels)
+    assert rows.count() == 100 and rows.where("toxic = 1").count() == 6 and toxic < 1 < clean
+    assert "blorg" in toxicity.fit(docs, labels).terms
+    assert toxicity.reject(docs, toxicity.fit(docs, labels)).count() == 1994
+
+
 def test_base_secrets(frame, odd, none):
     text = "é Password = 'abc123' token:short api_key=ABCdef99 x AKIA" + "B" * 16 + " AKIAB deadbeefdeadbeefdeadbeef0 SECRET: \"q1w2e3\" paſſword=zzzzzzzz"
     got = {r.doc_id: r for r in secret_scan.scan(frame([(1, text)])).collect()}[1]
