@@ -173,7 +173,8 @@ def shuffled(spark, d):
 
 def delaunay_edges(spark, d):
     r = _l(spark, d)
-    return points.delaunay_edges(r.category(3), window=64)
+    # Weeks by quantities: the raster does not grow with the orders, so a category fits a task whole.
+    return points.delaunay_edges(r.category(3), window=max(r.rows, r.cols))
 
 
 def delaunay_histogram(spark, d):

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrazzo.operators import clusters, fractal, patches, points, regress, series
+from terrazzo.plans import catalog
 from terrazzo.raster import Raster, from_rows
 from terrazzo.sources import files, runs
 from terrazzo.streaming.cells import category_counts
@@ -139,6 +140,19 @@ def test_delaunay_by_category(spark):
     assert points.edge_histogram(edges).agg(F.sum("count")).first()[0] == 3
 
 
+def test_registered_delaunay_is_whole(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    a = np.where(rng.random((150, 9)) < 0.2, 3, 1).astype(np.uint8)
+    monkeypatch.setattr(catalog, "_l", lambda s, d: Raster.from_array(s, a))
+    p = np.argwhere(a == 3)
+    got = {((r.i1, r.j1), (r.i2, r.j2)) for r in catalog.delaunay_edges(spark, "").collect()}
+    got = {tuple(sorted(e)) for e in got}
+    assert got == {tuple(sorted((tuple(p[x].tolist()), tuple(p[y].tolist())))) for x, y in points.delaunay(*p.T)}
+    assert len(got) == 3 * len(p) - 3 - len(_hull(p)) and any(x[0] // 64 != y[0] // 64 for x, y in got)
+    at = {tuple(q): k for k, q in enumerate(p.tolist())}
+    assert all(_has_empty_circle(p, at[x], at[y]) for x, y in got)
+
+
 def test_files(spark, tmp_path):
     a = np.arange(7 * 24, dtype=np.uint8).reshape(7, 24)
     raster = Raster.from_array(spark, a)
