@@ -33,10 +33,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 _ASSIGN_HINT = re.compile("(?i)passw|secret|token|api_?key")
 
-#: Words that put the value after them in credential context, beside those of ASSIGN.
-_CONTEXT = ("passphrase", "passcode", "credential", "credentials", "private_key", "access_key", "auth", "bearer", "pwd", "pass")
-CONTEXT = re.compile("(?i)(?<![A-Za-z0-9])(?:" + "|".join(_CONTEXT) + r""")["']?(?:\x20*[:=]\x20*|\x20+(?=[^\x20]*[0-9]))["']?([A-Za-z0-9+/_.=!@#$%^&*-]{8,})""")
-LOGIN = re.compile(r"://[A-Za-z0-9._-]+:([^\x20\x09-\x0D@/]{8,})@")
+#: Words that put the value after them in credential context, those of ASSIGN included.
+_CONTEXT = ("passphrase", "passcode", "credential", "credentials", "private_key", "access_key", "auth", "bearer", "pwd", "pass", *_WORDS, "api_?key")
+#: A value of six characters or more; an ampersand before the next name of a query string ends it.
+_VALUE = r"((?:[A-Za-z0-9+/_.=!@#$%^*-]|&(?![A-Za-z0-9_]+=)){6,})"
+CONTEXT = re.compile("(?i)(?<![A-Za-z0-9])(?:" + "|".join(_CONTEXT) + r""")["']?(?:\x20*[:=]\x20*|\x20+(?=[^\x20]*[0-9]))["']?""" + _VALUE)
+#: Assignments as ASSIGN finds them, with their whole values.
+ASSIGNED = re.compile("(?:" + "|".join(map(_either, _WORDS)) + "|" + _either("api") + "_?" + _either("key") + r""")["']?\x20*[:=]\x20*["']?""" + _VALUE)
+LOGIN = re.compile(r"://[A-Za-z0-9._-]+:([^\x20\x09-\x0D@/]{6,})@")
 _CONTEXT_HINT = re.compile("(?i)pass|pwd|auth|bearer|_key|credential|://")
 
 #: Decimal digits of guesses from which a value counts as secret.
@@ -129,7 +133,7 @@ def guessed_spans(text: str) -> list[tuple[int, int, int]]:
     if not (_CONTEXT_HINT.search(text) or _ASSIGN_HINT.search(text)):
         return []
     found: dict[int, int] = {}
-    for pattern, group in ((ASSIGN, 2), (CONTEXT, 1), (LOGIN, 1)):
+    for pattern, group in ((ASSIGN, 2), (ASSIGNED, 1), (CONTEXT, 1), (LOGIN, 1)):
         for m in pattern.finditer(text):
             a, b = m.span(group)
             if b - a >= 6 and guess_digits(text[a:b]) >= MIN_DIGITS:

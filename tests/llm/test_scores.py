@@ -90,6 +90,22 @@ def test_guess_costs():
     assert found == {"hunter-Zx81", "Qp9zLmW2"}
 
 
+@pytest.mark.parametrize(
+    "text, value",
+    [
+        ("password: Xk9#vLq2$wRz7", "Xk9#vLq2$wRz7"),
+        ("token=a1!b2@c3#d4$e5", "a1!b2@c3#d4$e5"),
+        ('password="$ecr3t!Kx9@qz"', "$ecr3t!Kx9@qz"),
+        ("dbpassword = Xk9#vLq2$wRz7, and", "Xk9#vLq2$wRz7"),
+        ("/get?api_key=Zq81kLw0xx&page=2", "Zq81kLw0xx"),
+        ("pwd: xK9#qL", "xK9#qL"),
+        ("ftp://u:xK9#qL@host", "xK9#qL"),
+    ],
+)
+def test_whole_values_are_priced(text, value):
+    assert {text[a:b] for a, _, b in secret_scan.guessed_spans(text)} == {value}
+
+
 def brute_targets(sizes, weights, share, cap):
     names = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
     w = {s: weights[k % len(weights)] for k, s in enumerate(names)}
