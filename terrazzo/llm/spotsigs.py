@@ -1,7 +1,8 @@
 """SpotSigs document fingerprints, in DataFrame functions only.
 
 A spot is a common word; its signature is the word with the next two content
-words, common words between them passed over. A fingerprint is the set of a
+words, common words between them passed over; in stretches without common words,
+every word with its next word is a signature too. A fingerprint is the set of a
 text's signatures, hashed to 32 bits and listed in order. Likeness is the
 Jaccard share of two sets. ``near_duplicates`` partitions sets by length, so
 that only sets whose sizes allow the threshold meet, and compares them by
@@ -29,8 +30,9 @@ _GAP = rf"(?: {_STOP}(?= ))*+"
 _SPOT = rf"(?<![^ ])(?=({_STOP}(?= ){_GAP} [^ ]+{_GAP} [^ ]+))"
 _PAIR = r"(?<![^ ])(?=([^ ]+ [^ ]+))"
 _BETWEEN = rf" {_STOP}(?= )"
-#: With fewer spots than one in so many words, every word is a spot.
+#: Stretches of so many words without a common one give the pairs of their words too.
 SPARSE = 8
+_COMMON = rf"(?<![^ ])(?=[^ ]{{1,{max(map(len, COMMON))}}}(?: |$)){_STOP}(?![^ ])"
 #: Documents of a bucket of neighbouring ids; pieces of the id distribution.
 BUCKET, PIECES = 256, 200
 
@@ -38,18 +40,23 @@ BUCKET, PIECES = 256, 200
 def with_signatures(df: DataFrame, text: str, name: str) -> DataFrame:
     """Add ``name``: the sorted distinct signatures of column ``text``, as longs.
 
-    Words are lower-cased runs of letters and digits. Texts where common words
-    are scarcer than one in ``SPARSE`` take every word with its next word
-    instead; a text of one word, or of none, is a signature by itself; null and
-    empty texts have none.
+    Words are lower-cased runs of letters and digits. Beside its spots a text
+    has the word pairs of every stretch of ``SPARSE`` or more words between
+    common ones. Both depend on near words only, so texts that share a passage
+    share its signatures whatever else they hold. A text with neither takes all
+    its word pairs; one of one word, or of none, is a signature by itself; null
+    and empty texts have none.
     """
     norm = F.trim(F.regexp_replace(F.lower(F.col(text)), r"[^\p{L}\p{N}]+", " "))
-    words = F.length("_n") - F.length(F.replace(F.col("_n"), F.lit(" "), F.lit(""))) + 1
+    count = lambda t: F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1
+    words = count(F.col("_n"))
     spots = F.transform(F.regexp_extract_all("_n", F.lit(_SPOT), F.lit(1)), lambda s: F.regexp_replace(s, _BETWEEN, ""))
+    stretches = F.filter(F.transform(F.split("_n", _COMMON), lambda p: F.trim(p)), lambda p: count(p) >= SPARSE)
+    lone = F.flatten(F.transform(stretches, lambda p: F.regexp_extract_all(p, F.lit(_PAIR), F.lit(1))))
     pairs = F.regexp_extract_all("_n", F.lit(_PAIR), F.lit(1))
-    chains = F.when(F.size("_s") * SPARSE >= words, F.col("_s")).when(words > 1, pairs).when(F.length(text) > 0, F.array(F.when(F.length("_n") > 0, F.col("_n")).otherwise(F.col(text)))).otherwise(F.array().cast("array<string>"))
+    chains = F.when(F.size("_s") > 0, F.col("_s")).when(words > 1, pairs).when(F.length(text) > 0, F.array(F.when(F.length("_n") > 0, F.col("_n")).otherwise(F.col(text)))).otherwise(F.array().cast("array<string>"))
     hashed = F.transform(chains, lambda s: F.xxhash64(s).bitwiseAND(F.lit(0xFFFFFFFF)))
-    return df.withColumn("_n", norm).withColumn("_s", spots).withColumn(name, F.coalesce(F.sort_array(F.array_distinct(hashed)), F.array().cast("array<bigint>"))).drop("_n", "_s")
+    return df.withColumn("_n", norm).withColumn("_s", F.concat(spots, lone)).withColumn(name, F.coalesce(F.sort_array(F.array_distinct(hashed)), F.array().cast("array<bigint>"))).drop("_n", "_s")
 
 
 def fingerprint(sigs: str) -> Column:

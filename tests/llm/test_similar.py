@@ -147,6 +147,15 @@ def test_against_edit(frame, odd, none):
     assert alone.near_next == 1.0
 
 
+def test_scarce_spots_do_not_change_the_kind_of_a_set(frame):
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    text = lambda gap: " ".join("the" if k % gap == 0 else word() for k in range(400))
+    rows = [(k, text(gap)) for k, gap in enumerate((7, 9, 8, 30, 6, 500, 8, 10))]
+    for r in spotsigs.against_edit(frame(rows)).collect():
+        assert 0.15 < r.near_edited < 0.9 and r.near_next < 0.1
+
+
 def test_against_edit_over_many_buckets(frame, monkeypatch):
     monkeypatch.setattr(spotsigs, "BUCKET", 3)
     monkeypatch.setattr(spotsigs, "PIECES", 4)
