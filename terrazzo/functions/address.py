@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 EVEN_BITS = 0x5555555555555555
 ODD_BITS = 0x2AAAAAAAAAAAAAAA
 _SPREAD = ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, EVEN_BITS))
-#: Steps to the equal-sized neighbour, for codes that carry x in even bits.
-EAST, NORTH = 1, 2
+#: The eight neighbours as ``(dx, dy)``, counter-clockwise from the east; every second one shares a side.
+COMPASS = ((1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1))
 
 
 def _col(x) -> Column:
@@ -91,36 +91,26 @@ def interleaved_add(n, d, even=EVEN_BITS, odd=ODD_BITS) -> Column:
     return x.bitwiseOR(y)
 
 
-def axis_masks(levels: int) -> tuple[int, int]:
-    """Bits of x and of y in a code of so many levels."""
-    x = sum(1 << 2 * k for k in range(levels))
-    return x, x << 1
+def _side(level, levels: int) -> Column:
+    """Cells along a quadrant of that level."""
+    return F.pow(F.lit(2.0), (F.lit(levels) - _col(level)).cast("double")).cast("long")
 
 
-def steps4(levels: int) -> tuple[int, int, int, int]:
-    """Code increments to the east, north, west and south neighbour."""
-    x, y = axis_masks(levels)
-    return EAST, NORTH, x, y
+def neighbor(code, level, levels: int, dx, dy) -> Column:
+    """Code of the quadrant of the same size ``(dx, dy)`` quadrants away; the image wraps around.
 
-
-def steps8(levels: int) -> tuple[int, ...]:
-    """Increments to all eight neighbours, counter-clockwise from east."""
-    e, n, w, s = steps4(levels)
-    return e, e | n, n, n | w, w, w | s, s, s | e
-
-
-def equal_neighbor(code, level, levels: int, step) -> Column:
-    """Code of the equal-sized neighbour; wraps around at the border."""
-    x, y = axis_masks(levels)
-    shift = F.lit(2) * (F.lit(levels) - _col(level))
-    factor = F.pow(F.lit(2.0), shift.cast("double")).cast("long")
-    return interleaved_add(code, _col(step) * factor, x, y)
+    The code is taken apart into its corner, the corner moved, and put together again.
+    """
+    x, y = unmorton(code)
+    side, span = _side(level, levels), F.lit(1 << levels)
+    return morton(F.pmod(x + _col(dx) * side, span), F.pmod(y + _col(dy) * side, span))
 
 
 def child(code, level, levels: int, quarter) -> Column:
-    """Code of a child quadrant, numbered in Morton order."""
-    shift = F.lit(2) * (F.lit(levels) - _col(level) - 1)
-    return _col(code).bitwiseOR(_col(quarter) * F.pow(F.lit(2.0), shift.cast("double")).cast("long"))
+    """Code of a child quadrant: the corner of quarter 0 to 3, x first."""
+    x, y = unmorton(code)
+    half = _side(_col(level) + 1, levels)
+    return morton(x + F.pmod(_col(quarter), F.lit(2)) * half, y + quotient(quarter, 2) * half)
 
 
 def digits(code, levels: int) -> Column:
@@ -135,7 +125,7 @@ def from_digits(values) -> Column:
 def bounding_box(code, level, levels: int) -> tuple[Column, Column, Column, Column]:
     """Half-open ``x0, y0, x1, y1`` of a quadrant."""
     x, y = unmorton(code)
-    side = F.pow(F.lit(2.0), (F.lit(levels) - _col(level)).cast("double")).cast("long")
+    side = _side(level, levels)
     return x, y, x + side, y + side
 
 

@@ -49,13 +49,12 @@ def leaves(black: DataFrame, levels: int) -> DataFrame:
 
 def _sides(tree: DataFrame, levels: int) -> DataFrame:
     """Every leaf and direction with the code of the equal-sized neighbour inside the image."""
-    steps = address.steps4(levels)
     x0, y0, x1, y1 = address.bounding_box("code", "level", levels)
     side = 1 << levels
     inside = F.element_at(F.array(x1 < side, y1 < side, x0 > 0, y0 > 0), F.col("d") + 1)
-    step = F.element_at(F.array(*[F.lit(s).cast("long") for s in steps]), F.col("d") + 1)
+    dx, dy = (F.element_at(F.array(*[F.lit(o[k]) for o in address.COMPASS[::2]]), F.col("d") + 1) for k in (0, 1))
     spread = tree.withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(3)))).where(inside)
-    return spread.withColumn("to", address.equal_neighbor("code", "level", levels, step))
+    return spread.withColumn("to", address.neighbor("code", "level", levels, dx, dy))
 
 
 def _ancestors(tree: DataFrame, levels: int, code: str, level: str) -> DataFrame:

@@ -75,9 +75,9 @@ def quad_bbox(spark, d):
 
 
 def schrack_neighbor(spark, d):
-    steps = F.explode(F.array(*[F.struct(F.lit(k).alias("d"), F.lit(s).cast("long").alias("s")) for k, s in enumerate(address.steps8(9))]))
+    steps = F.explode(F.array(*[F.struct(F.lit(k).alias("d"), F.lit(x).alias("x"), F.lit(y).alias("y")) for k, (x, y) in enumerate(address.COMPASS)]))
     h = _h(spark).select(address.morton("i", "j").alias("code"), steps.alias("o"))
-    return h.select("code", F.col("o.d").alias("d"), address.equal_neighbor("code", F.lit(9), 9, F.col("o.s")).alias("neighbor"))
+    return h.select("code", F.col("o.d").alias("d"), address.neighbor("code", F.lit(9), 9, F.col("o.x"), F.col("o.y")).alias("neighbor"))
 
 
 def _rects(spark, d):

@@ -11,12 +11,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no checkpoint folder (tests, local runs).
+#: Used only by local sessions that name no checkpoint folder (tests, the bench).
 LOCAL_DIR = "/tmp/checkpoints"
 
 
 def scratch_root(spark: SparkSession) -> str:
+    """The shared scratch folder. A session with executors of its own has to name one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (named or LOCAL_DIR).rstrip("/") + "/terrazzo"
 
 
