@@ -14,6 +14,8 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+from array import array
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -21,14 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Chunks whose pieces a task remembers.
+#: Chunks whose pieces a worker remembers; two generations of so many take some 120 MB.
 CACHE = 300_000
-#: The same with lengths, for ``arrays``: two generations of it take some 50 MB.
-PACKED = 120_000
 #: Score of a pair that is no piece.
 NEVER = float("-inf")
-EMPTY = hashlib.sha256(b"").hexdigest()
-SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ends_sha256 string"
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:
@@ -119,20 +118,26 @@ class Model:
         self.scores = {p: scores[i] for p, i in self.ids.items()}
         self.bytes = {int(p[3:-1], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == 6}
         self.byte_of = {i: b for b, i in self.bytes.items()}
+        #: What a piece decodes to by itself; None where that takes its neighbours or its kind.
+        self.texts = [p.replace(SPACE, " ") if p and k in (1, 4, 5) else None for p, k in zip(self.pieces, self.kinds)]
+        self.names = [str(i) for i in range(len(self.pieces))]
         self.user = any(k == 4 for k in self.kinds)
         inner = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         #: Characters that stand side by side in some piece; None where chunks can't be cut.
         self.pairs = None if inner or self.user else {ab for p in self.ids for ab in zip(p, p[1:])}
         #: Chunks start at a run of spaces: sound as long as no piece holds a space after another character.
         self.chunks = re.compile("(?s).+" if inner or self.user else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        self.plain = not self.charmap.units and not self.squeeze and self.escape
-        self.cache: dict[str, str] = {}
-        self.old: dict[str, str] = {}
-        self.packed: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def normalise(self, text: str) -> tuple[str, list[int], list[int]]:
-        """Normalised text and, for each of its characters, the source byte span."""
+        #: Whether every character of a text stays one, so that chunks can be normalised and aligned one by one.
+        self.plain = not self.charmap.units and not self.squeeze and self.escape and bool(self.bytes)
+        self.known: dict[str, tuple] = {}
+        self.older: dict[str, tuple] = {}
+
+    def mapped(self, text: str) -> tuple[list[str], list[int], list[int]]:
+        """Characters after longest-prefix rewriting and, for each, the source byte span."""
+        if not self.charmap.units:
+            # No key to look for: every character stands for its own bytes.
+            ends = list(range(1, len(text) + 1)) if text.isascii() else list(accumulate(len(c.encode()) for c in text))
+            return list(text), [0, *ends[:-1]], ends
         b = text.encode()
         out, starts, ends, i = [], [], [], 0
         while i < len(b):
@@ -146,6 +151,11 @@ class Model:
             starts += [i] * len(to)
             ends += [i + n] * len(to)
             i += n
+        return out, starts, ends
+
+    def normalise(self, text: str) -> tuple[str, list[int], list[int]]:
+        """Normalised text and, for each of its characters, the source byte span."""
+        out, starts, ends = self.mapped(text)
         if self.squeeze:
             keep = [k for k, c in enumerate(out) if c != " " or (k and out[k - 1] != " ")]
             while keep and out[keep[-1]] == " ":
@@ -206,13 +216,7 @@ class Model:
         return self.merge(chunk) if len(chunk) < 64 else self.merge_long(chunk)
 
     def encode(self, text: str) -> list[int]:
-        s = self._normal(text)
-        return [i for c in self.chunks.findall(s) for p in self._pieces(c) for i in self._piece_ids(p)]
-
-    def _normal(self, text: str) -> str:
-        if self.plain:
-            return (SPACE + text if self.prefix else text).replace(" ", SPACE) if text else ""
-        return self.normalise(text)[0]
+        return self._aligned(text)[0]
 
     def encode_spans(self, text: str) -> list[tuple[int, int, int]]:
         """``(id, start, end)``: every piece with the original bytes it covers."""
@@ -233,25 +237,26 @@ class Model:
 
         ``first``: the ids start a text, so a leading dummy space is dropped.
         """
-        out, run = [], bytearray()
-        for i in [*ids, None]:
-            b = self.byte_of.get(i) if i is not None else None
-            if b is not None:
-                run.append(b)
-                continue
-            if run:
-                out.append(self._broken(bytes(run)))
-                run, first = bytearray(), False
-            if i is None:
-                break
-            if self.kinds[i] == 3:
-                continue
-            p = " ⁇ " if self.kinds[i] == 2 else self.pieces[i]
-            if first and self.prefix and self.kinds[i] != 2 and p.startswith(SPACE):
-                p = p[1:]
-            first = False
-            out.append(p)
-        return "".join(out).replace(SPACE, " ")
+        texts = self.texts
+        out = list(map(texts.__getitem__, ids))
+        lead = 0
+        if None in out:
+            special = [k for k, t in enumerate(out) if t is None]
+            run, nxt = bytearray(), None
+            for k in reversed(special):
+                b = self.byte_of.get(ids[k])
+                if b is None:
+                    out[k] = " ⁇ " if self.kinds[ids[k]] == 2 else ""
+                    continue
+                # A run of byte pieces is read from its first one.
+                run = bytearray([b]) + run if nxt == k + 1 else bytearray([b])
+                nxt = k
+                out[k] = "" if k and ids[k - 1] in self.byte_of else self._broken(bytes(run))
+            while lead < len(ids) and self.kinds[ids[lead]] == 3:
+                lead += 1
+        if first and self.prefix and lead < len(ids) and texts[ids[lead]] and texts[ids[lead]][0] == " ":
+            out[lead] = out[lead][1:]
+        return "".join(out)
 
     @staticmethod
     def _broken(run: bytes) -> str:
@@ -277,84 +282,64 @@ class Model:
         cuts += [k + 1 for k, ab in enumerate(zip(chunk, chunk[1:])) if ab not in pairs]
         return [chunk[a:b] for a, b in zip(cuts, [*cuts[1:], len(chunk)])] if len(cuts) > 1 else [chunk]
 
-    def _remember(self, key: str, make) -> str:
-        """Two generations: what is used again outlives what is not."""
-        got = self.old.get(key)
-        if got is None:
-            got = make()
-        if len(key) < 40:
-            if len(self.cache) >= CACHE:
-                self.old, self.cache = self.cache, {}
-            self.cache[key] = got
-        return got
-
-    def _sub(self, part: str) -> str:
-        got = self.cache.get(part)
-        return got or self._remember(part, lambda: ",".join(str(i) for p in self._pieces(part) for i in self._piece_ids(p)))
-
-    def _chunk(self, chunk: str) -> str:
-        parts = [chunk] if self.pairs is None else self.split(chunk)
-        if len(parts) == 1:
-            return self._sub(chunk)
-        return self._remember(chunk, lambda: ",".join(map(self._sub, parts)))
+    def _record(self, chunk: str) -> bytes:
+        """Ids of a chunk with spaces escaped, each with the source bytes that it covers in the low eight bits.
 
-    def arrays(self, text: str) -> tuple[np.ndarray, np.ndarray, str]:
-        """Ids, the source byte at which each piece ends, and the decoded text."""
-        if not self.plain or not self.bytes or SPACE in text:
-            spans = self.encode_spans(text)
-            ids = [i for i, _, _ in spans]
-            return np.array(ids, np.int32), np.array([e for _, _, e in spans], np.int32), self.decode(ids)
-        s = self._normal(text)
-        if not s:
-            return np.zeros(0, np.int32), np.zeros(0, np.int32), ""
-        packs = list(map(self.packed.get, chunks := self.chunks.findall(s)))
-        if None in packs:
-            packs = [a or self._pack(c) for a, c in zip(packs, chunks)]
-        both = np.frombuffer(b"".join(packs), np.uint32)
-        ends = np.cumsum(both & 255, dtype=np.int64) - (1 if self.prefix else 0)
-        back = s.replace(SPACE, " ")
-        return (both >> 8).astype(np.int32), ends.astype(np.int32), back[1:] if self.prefix and back[0] == " " else back
-
-    def _pack(self, chunk: str) -> bytes:
-        """Ids of a chunk, each with the bytes its piece covers in the low eight bits."""
+        The chunk is rewritten and aligned by itself. Its ids do not depend on
+        what stands around it, so records are remembered, in two generations:
+        what is used again outlives what is not.
+        """
         got = self.older.get(chunk)
         if got is None:
-            out = []
-            for part in self.split(chunk) if self.pairs is not None else [chunk]:
-                for p in self._pieces(part):
-                    own = self._piece_ids(p)
-                    out += [own[0] << 8 | len(p.encode()) - 2 * p.count(SPACE)] if len(own) == 1 else [i << 8 | 1 for i in own]
-            got = np.array(out, np.uint32).tobytes()
+            parts = [chunk] if self.pairs is None else self.split(chunk)
+            if len(parts) > 1:
+                got = b"".join([self.known.get(p) or self._record(p) for p in parts])
+            else:
+                chars, starts, ends = self.mapped(chunk.replace(SPACE, " "))
+                record, at = array("I"), 0
+                for piece in self._pieces("".join(chars).replace(" ", SPACE)):
+                    own = self._piece_ids(piece)
+                    covered = ends[at + len(piece) - 1] - starts[at]
+                    record.extend([own[0] << 8 | covered] if len(own) == 1 else [i << 8 | 1 for i in own])
+                    at += len(piece)
+                got = record.tobytes()
         if len(chunk) < 40:
-            if len(self.packed) >= PACKED:
-                self.older, self.packed = self.packed, {}
-            self.packed[chunk] = got
+            if len(self.known) >= CACHE:
+                self.older, self.known = self.known, {}
+            self.known[chunk] = got
         return got
 
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, digest of the ids, digest of the decoded text.
-
-        The ids of a chunk do not depend on what stands around it, so they are
-        remembered by chunk. Known characters and byte pieces decode to the
-        normalised text itself.
-        """
-        s = self._normal(text)
-        if not s:
-            return 0, EMPTY, EMPTY
+    def _aligned(self, text: str) -> tuple[list[int], np.ndarray]:
+        """Ids, and the source byte at which each piece ends."""
+        if not self.plain or SPACE in text:
+            spans = self.encode_spans(text)
+            return [i for i, _, _ in spans], np.array([e for _, _, e in spans], np.int32)
+        if not text:
+            return [], np.zeros(0, np.int32)
+        s = (" " + text if self.prefix else text).replace(" ", SPACE)
         if s[0] == SPACE and SPACE * 2 not in s and self.pairs is not None:
             chunks = [SPACE + w for w in s.split(SPACE)[1:]]
         else:
             chunks = self.chunks.findall(s)
-        ids = list(map(self.cache.get, chunks))
-        if None in ids:
-            ids = [a or self._chunk(c) for a, c in zip(ids, chunks)]
-        joined = ",".join(ids)
-        if self.bytes:
-            back = s.replace(SPACE, " ")
-            back = back[1:] if self.prefix and back[0] == " " else back
-        else:
-            back = self.decode(list(map(int, joined.split(","))))
-        return joined.count(",") + 1, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()
+        found = list(map(self.known.get, chunks))
+        if None in found:
+            found = [r or self._record(c) for r, c in zip(found, chunks)]
+        both = np.frombuffer(b"".join(found), np.uint32)
+        # The space put before the text has no source byte.
+        ends = np.cumsum(both & 255, dtype=np.int32) - np.int32(self.prefix)
+        return (both >> 8).tolist(), ends
+
+    def arrays(self, text: str) -> tuple[np.ndarray, np.ndarray, str]:
+        """Ids, the source byte at which each piece ends, and the text that the ids decode to."""
+        ids, ends = self._aligned(text)
+        return np.array(ids, np.int32), ends, self.decode(ids)
+
+    def digest(self, text: str) -> tuple[int, str, str, str]:
+        """Number of ids, and digests of the ids, of the text they decode to, and of the ends of their spans."""
+        ids, ends = self._aligned(text)
+        sha = lambda b: hashlib.sha256(b).hexdigest()
+        names = self.names
+        return len(ids), sha(",".join(map(names.__getitem__, ids)).encode()), sha(self.decode(ids).encode()), sha(ends.astype("<i4").tobytes())
 
 
 _models: dict[bytes, Model] = {}
@@ -375,9 +360,11 @@ def load(path: str) -> bytes:
 
 
 def encode_digests(docs: DataFrame, model_path: str) -> DataFrame:
-    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``, one row per input row.
+    """``(doc_id, n_tokens, ids_sha256, decoded_sha256, ends_sha256)``, one row per input row.
 
-    A null text counts as empty: no ids, digests of the empty string. Repeated
+    Every text is rewritten, aligned, encoded and decoded from its ids;
+    ``ends_sha256`` is over the bytes of the source at which pieces end, as
+    little-endian 32-bit numbers. A null text counts as empty: no ids, digests of the empty string. Repeated
     rows give repeated results, a null doc_id stays null, an empty table gives
     an empty result; only ``doc_id`` and ``text`` are read.
     """
@@ -387,8 +374,8 @@ def encode_digests(docs: DataFrame, model_path: str) -> DataFrame:
         model = shared(blob)
         for batch in batches:
             rows = [model.digest(t or "") for t in batch.column(1).to_pylist()]
-            n, a, b = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            n, *shas = zip(*rows) if rows else ((),) * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *(pa.array(x, pa.string()) for x in shas)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ends_sha256"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 

@@ -176,9 +176,11 @@ def test_encoding_equals_the_library(model, library):
     for text in samples():
         ids = library.encode(text)
         assert model.encode(text) == ids and model.decode(ids) == library.decode(ids)
-        n, a, b = model.digest(text)
+        n, a, b, c = model.digest(text)
         assert (n, a) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
         assert b == hashlib.sha256(library.decode(ids).encode()).hexdigest()
+        ends = b"".join(e.to_bytes(4, "little") for _, _, e in model.encode_spans(text))
+        assert c == hashlib.sha256(ends).hexdigest()
 
 
 def test_broken_bytes_decode_like_the_library(model, library):
