@@ -1,8 +1,10 @@
 """Toxicity, secrets, mixing, SentencePiece and the pipeline."""
 
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 
 import pytest
@@ -80,16 +82,99 @@ def test_base_secrets(frame, odd, none):
 
 
 def test_guess_costs():
-    digits = secret_scan.guess_digits
+    guesser = secret_scan.Guesser({"information": 300, "configuration": 900, "bonjour": 500, "monde": 700})
+    digits = guesser.digits
     assert digits("password") < digits("passw0rd") < digits("xK9#qLw2")
     assert digits("qwertyuiop") < 5 and digits("aaaaaaaaaa") < 5 and digits("20240131") < 6 and digits("abcabcabcabc") < 6
-    assert digits("Tz81kQpWm03x") > 12
+    assert digits("Tz81kQpWm03x") > 12 and digits("") == 0
     assert digits("x" * 5000) < 8 and digits("Az9" + "q7W" * 2000) < 14
-    text = "login ok; pwd: hunter-Zx81 and bearer password1, see https://u:Qp9zLmW2@host/"
-    found = {text[a:b] for a, _, b in secret_scan.guessed_spans(text)}
+    assert digits("configuration") < 4 and digits("bonjourmonde") < 8 and digits("Information2024") < 8
+    text = "login ok; pwd: hunter-Zx81 and bearer password1, see https://u:Qp9zLmW2@host/ token: configuration"
+    found = {text[a:b] for a, _, b in secret_scan.guessed_spans(text, guesser)}
     assert found == {"hunter-Zx81", "Qp9zLmW2"}
 
 
+def brute_digits(guesser, value):
+    """Every segmentation into the spans that the price list names, by recursion."""
+    from functools import cache
+
+    join, low = math.log10(2), value.lower()
+    plain = low.translate(secret_scan._LEET)
+    walk = [(a, b) in secret_scan._NEXT for a, b in zip(low, low[1:])]
+    step = [ord(b) - ord(a) for a, b in zip(value, value[1:])]
+
+    def cost(a, b):
+        part = value[a:b]
+        out = [sum(math.log10(secret_scan._pool(c)) for c in part)]
+        for word, more in ((low[a:b], 0), (plain[a:b], join)):
+            if word in guesser.ranks:
+                caps = sum(c.isupper() for c in part)
+                out.append(math.log10(guesser.ranks[word]) + more + (0 if not caps else join if caps in (1, b - a) else join * caps))
+        m = secret_scan._DATE.match(value, a)
+        if m and (b == a + 4 or b == m.end()):
+            out.append(math.log10(120 * (1 if b - a == 4 else 12 if b - a < 8 else 366)))
+        if b - a >= 3:
+            if len(set(part)) == 1:
+                out.append(math.log10(secret_scan._pool(part[0]) * (b - a)))
+            if all(walk[a : b - 1]) or set(step[a : b - 1]) in ({1}, {-1}):
+                out.append(math.log10(48 * (b - a)))
+        for size in range(2, min(secret_scan.MAX_UNIT, (b - a) // 2) + 1):
+            if (b - a) % size == 0 and part == part[:size] * ((b - a) // size):
+                out.append(brute_digits(guesser, part[:size]) + math.log10((b - a) // size))
+        return min(out)
+
+    @cache
+    def best(b):
+        return 0.0 if b == 0 else min(best(a) + join + cost(a, b) for a in range(b))
+
+    return best(len(value))
+
+
+def test_guess_costs_against_all_segmentations():
+    rng = random.Random(8)
+    guesser = secret_scan.Guesser({"stone": 40, "river": 9, "tone": 800})
+    bits = ["stone", "River", "r1ver", "aaaa", "qwert", "2024", "20240131", "abab", "xyzxyz", "K", "7", "#", "cba", "password"]
+    close = 0
+    for _ in range(300):
+        value = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 5)))
+        fast, full = guesser.digits(value), brute_digits(guesser, value)
+        # Stretches and repeats are taken whole from inside, so a price may lie above the full search, by little.
+        assert full - 1e-9 <= fast <= full + 1.0
+        close += fast <= full + 1e-9
+    assert close >= 285
+
+
+def test_very_long_values_take_linear_time(frame):
+    rng = random.Random(9)
+    letters = "".join(map(chr, range(33, 127)))
+    longs = ["=" * 100_000, "ab" * 50_000, "qwertyuiop" * 10_000, "".join(rng.choice(letters) for _ in range(100_000)), "password" * 12_500]
+    for value in longs:
+        took = {}
+        for n in (25_000, 100_000):
+            guesser = secret_scan.Guesser()
+            began = time.process_time()
+            guesser.digits(value[:n])
+            took[n] = time.process_time() - began
+        assert took[100_000] < 10 * max(took[25_000], 0.02), (value[:10], took)
+    got = secret_scan.scan(frame([(1, "secret: " + longs[0]), (2, "pwd=" + longs[3].replace(" ", ""))]), {}).collect()
+    assert len(got) == 2
+
+
+def test_planted_values(frame):
+    rng = random.Random(10)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(5, 11))) for _ in range(300)]
+    prose = lambda: " ".join(rng.choice(words) for _ in range(40))
+    secret = lambda: "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789!@#$") for _ in range(rng.randrange(10, 25)))
+    weak = lambda: rng.choice([rng.choice(words), rng.choice(words).title() + "1", "qwerty123", "aaaaaaa", "2024-01-31", rng.choice(words) + "2024"])
+    rows, want = [], []
+    for k in range(400):
+        bad = k % 2
+        rows.append((k, f"{prose()} {rng.choice(['password: ', 'pwd=', 'token = '])}{secret() if bad else weak()} {prose()}"))
+        want.append(bool(bad))
+    got = {r.doc_id: "guess" in r.spans for r in secret_scan.scan(frame(rows)).collect()}
+    assert sum(got[k] for k in range(400) if want[k]) >= 198 and sum(got[k] for k in range(400) if not want[k]) <= 4
+
+
 @pytest.mark.parametrize(
     "text, value",
     [
@@ -103,7 +188,7 @@ def test_guess_costs():
     ],
 )
 def test_whole_values_are_priced(text, value):
-    assert {text[a:b] for a, _, b in secret_scan.guessed_spans(text)} == {value}
+    assert {text[a:b] for a, _, b in secret_scan.guessed_spans(text, secret_scan.Guesser())} == {value}
 
 
 def brute_targets(sizes, weights, share, cap):
