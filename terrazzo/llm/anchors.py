@@ -7,6 +7,10 @@ hashes need comparing. Consecutive windows with one anchor form a region:
 ``lo`` and ``count`` are its first window and their number, ``offset`` where
 the anchor stands in the first window, and ``content`` a hash of the tokens
 that the windows cover. Every window belongs to exactly one region of its text.
+
+Anchors come from polynomial hashes, which may collide: unlike grams then share
+a key, and their regions are told apart like any others of one key. Contents are
+XXH3 hashes of the tokens themselves.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -78,27 +83,36 @@ def sliding_low(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def regions(tokens: np.ndarray, window: int, gram: int) -> Regions:
+def regions(tokens: np.ndarray, raw: bytes, window: int, gram: int) -> Regions:
     """Regions of one text. Texts shorter than a window have none.
 
-    A text longer than ``PIECE`` tokens is cut into overlapping pieces; a
-    region that a cut divides becomes two regions of other content, which
-    ``split_long`` callers treat as they treat any regions that differ.
+    ``raw`` holds the tokens as bytes, equally many for each. A text longer
+    than ``PIECE`` tokens is cut into overlapping pieces; a region that a cut
+    divides becomes two regions of other content, which callers treat as they
+    treat any regions that differ.
     """
     n = len(tokens) - window + 1
     if n <= 0:
         none = np.zeros(0, np.uint64)
         return Regions(none, none, *(np.zeros(0, np.int64) for _ in range(3)))
+    unit = len(raw) // len(tokens)
     if n > PIECE:
-        parts = [(a, regions(tokens[a : a + PIECE + window - 1], window, gram)) for a in range(0, n, PIECE)]
-        return Regions(*(np.concatenate([getattr(r, f) + (a if f == "lo" else 0) for a, r in parts]) if f == "lo" else np.concatenate([getattr(r, f) for _, r in parts]) for f in ("anchor", "content", "lo", "count", "offset")))
-    prefix = Prefix(tokens)
+        parts = []
+        for a in range(0, n, PIECE):
+            b = min(a + PIECE + window - 1, len(tokens))
+            r = regions(tokens[a:b], raw[a * unit : b * unit], window, gram)
+            r.lo += a
+            parts.append((r.anchor, r.content, r.lo, r.count, r.offset))
+        return Regions(*map(np.concatenate, zip(*parts)))
     m = len(tokens) - gram + 1
-    grams = prefix.hashes(slice(0, m), slice(gram, m + gram))
+    grams = Prefix(tokens).hashes(slice(0, m), slice(gram, m + gram))
     place = np.arange(m, dtype=np.uint64)
     keys = (grams >> np.uint64(PLACE) << np.uint64(PLACE)) | place
     at = (sliding_low(keys, window - gram + 1) & np.uint64((1 << PLACE) - 1)).astype(np.int64)
     starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     count = np.diff(np.append(starts, n))
     anchor = at[starts]
-    return Regions(grams[anchor], prefix.hashes(starts, starts + count + window - 1), starts, count, anchor - starts)
+    x, view = xxhash.xxh3_64_intdigest, memoryview(raw)
+    ends = (starts + count + window - 1) * unit
+    content = np.array([x(view[a:b]) for a, b in zip((starts * unit).tolist(), ends.tolist())], np.uint64)
+    return Regions(grams[anchor], content, starts, count, anchor - starts)

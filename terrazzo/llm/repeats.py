@@ -7,8 +7,10 @@ Stages shared by the byte and the word operator:
 2. regions of equal anchor and content are copies: one row stays for each
    content, the others are settled at once;
 3. anchors that still have several contents are resolved by the operator's own
-   method over the token sequences of those few regions, one class at a time;
-4. covered ranges go back to their documents, which are read once more.
+   method over the token sequences of those few regions, one anchor at a time;
+4. an anchor with more than ``LIMIT`` contents is too much for a task: its
+   windows become rows of their own, hashed to 128 bits and pre-aggregated;
+5. covered ranges go back to their documents, whose texts are exchanged once.
 
 Rows of a document are keyed by ``doc_id`` and a hash of its text, so rows that
 repeat an id stay apart, rows that repeat a text under the same id are one
@@ -21,6 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +32,8 @@ from terrazzo.storage import materialize
 
 KEYS = ("doc_id", "tag")
 RANGES = "doc_id long, tag long, a long, b long"
+#: Contents of one anchor that one task resolves.
+LIMIT = 1024
 _BITS = 20
 
 
@@ -40,14 +45,14 @@ def same_doc(left: DataFrame, right: DataFrame):
     return left["doc_id"].eqNullSafe(right["doc_id"]) & left["tag"].eqNullSafe(right["tag"])
 
 
-def all_regions(docs: DataFrame, tokens: Callable[[str], np.ndarray], window: int, gram: int) -> DataFrame:
+def all_regions(docs: DataFrame, tokens: Callable[[str], tuple[np.ndarray, bytes]], window: int, gram: int) -> DataFrame:
     """``(anchor, content, doc_id, tag, place, extent)``; extent packs count and offset."""
 
     def run(batches):
         for batch in batches:
             parts, rows = [], []
             for k, text in enumerate(batch.column("text").to_pylist()):
-                r = regions(tokens(text), window, gram) if text else None
+                r = regions(*tokens(text), window, gram) if text else None
                 if r is not None and len(r.lo):
                     parts.append((r.anchor, r.content, r.lo, r.count << _BITS | r.offset))
                     rows.append((k, len(r.lo)))
@@ -66,7 +71,7 @@ def all_regions(docs: DataFrame, tokens: Callable[[str], np.ndarray], window: in
 
 def covered(
     docs: DataFrame,
-    tokens: Callable[[str], np.ndarray],
+    tokens: Callable[[str], tuple[np.ndarray, bytes]],
     cut: Callable[[str], Callable[[int, int], bytes]],
     resolve: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
     window: int,
@@ -75,14 +80,15 @@ def covered(
 ) -> DataFrame:
     """Ranges ``(doc_id, tag, a, b)`` of tokens to remove, one or more per document.
 
-    ``cut(text)(a, b)`` gives the payload of tokens a to b; ``resolve`` gets
+    ``tokens(text)`` gives hashes of the tokens and the tokens as bytes;
+    ``cut(text)(a, b)`` the payload of tokens a to b; ``resolve`` gets
     regions sorted by ``anchor, doc_id, tag, place`` with ``many`` (whether
     another region has the same content) and emits ranges; it passes over a
     region that repeats the one before (a row given twice). ``keep_first``: the
-    first of equal regions stays, else all go.
+    first of equal windows stays, else all go.
     """
     anchors = all_regions(docs, tokens, window, gram)
-    # Written, so that both sides of the join are dealt afresh and a hot anchor can be split.
+    # Written, so that both sides of a join are dealt afresh and a hot anchor can be split.
     again, _ = materialize(anchors.groupBy("anchor").count().where("count > 1").select("anchor"), "anchors")
     found, _ = materialize(anchors.join(again, "anchor", "left_semi"), "regions")
     first = F.min(F.struct(F.col("doc_id"), F.col("tag"), F.col("place"), F.col("extent"))).alias("first")
@@ -94,11 +100,14 @@ def covered(
         settled = settled.where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & F.col("tag").eqNullSafe(F.col("first.tag")) & (F.col("place") == F.col("first.place"))))
     settled = settled.select("doc_id", "tag", F.col("place").alias("a"), reach.alias("b"))
 
-    several = classes.groupBy("anchor").count().where("count > 1").select("anchor")
-    open_rows = classes.join(several, "anchor", "left_semi").select("anchor", "many", "first.*")
-    asked = open_rows.groupBy(*KEYS).agg(F.collect_list(F.struct("anchor", "many", "place", "extent")).alias("asked"))
-    asked = asked.select(F.col("doc_id").alias("_d"), F.col("tag").alias("_t"), "asked")
-    held = docs.join(asked, docs["doc_id"].eqNullSafe(asked["_d"]) & docs["tag"].eqNullSafe(asked["_t"]))
+    several, _ = materialize(classes.groupBy("anchor").agg(F.count("*").alias("contents")).where("contents > 1"), "several")
+    still = classes.join(several, "anchor").select("anchor", "many", "contents", "first.*")
+
+    def asked(which: str) -> DataFrame:
+        """Texts with the regions asked of them. Every use exchanges the same texts, so the exchange is made once."""
+        asks = still.where(which).groupBy(*KEYS).agg(F.collect_list(F.struct("anchor", "many", "place", "extent")).alias("asked"))
+        asks = asks.select(F.col("doc_id").alias("_d"), F.col("tag").alias("_t"), "asked")
+        return docs.join(asks, docs["doc_id"].eqNullSafe(asks["_d"]) & docs["tag"].eqNullSafe(asks["_t"])).select("doc_id", "tag", "text", "asked")
 
     def payloads(batches):
         for batch in batches:
@@ -119,9 +128,38 @@ def covered(
                     ["anchor", "doc_id", "tag", "place", "extent", "many", "payload"],
                 )
 
-    bare = held.select("doc_id", "tag", "text", "asked").mapInArrow(payloads, "anchor long, doc_id long, tag long, place long, extent long, many boolean, payload binary")
+    bare = asked(f"contents <= {LIMIT}").mapInArrow(payloads, "anchor long, doc_id long, tag long, place long, extent long, many boolean, payload binary")
     resolved = bare.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "tag", "place").mapInArrow(resolve, RANGES)
-    return settled.unionByName(resolved)
+    out = settled.unionByName(resolved)
+    if several.where(f"contents > {LIMIT}").isEmpty():
+        return out
+
+    def windows(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                take = cut(batch.column("text")[k].as_py())
+                digests, places, many = [], [], []
+                for x in batch.column("asked")[k].as_py():
+                    for at in range(x["place"], x["place"] + (x["extent"] >> _BITS)):
+                        digests.append(xxhash.xxh3_128_digest(take(at, at + window)))
+                        places.append(at)
+                        many.append(x["many"])
+                n = len(places)
+                h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array([batch.column("doc_id")[k].as_py()] * n, pa.int64()), pa.array([batch.column("tag")[k].as_py()] * n, pa.int64()), pa.array(places, pa.int64()), pa.array(many, pa.bool_())],
+                    ["h1", "h2", "doc_id", "tag", "place", "many"],
+                )
+
+    each = asked(f"contents > {LIMIT}").mapInArrow(windows, "h1 long, h2 long, doc_id long, tag long, place long, many boolean")
+    spot = F.struct("doc_id", "tag", "place")
+    # The third key says nothing new, but makes both sides of the join be dealt afresh: a hot window can be split.
+    often = each.groupBy("h1", "h2").agg(F.min(spot).alias("least"), F.max(spot).alias("most"), F.max("many").alias("copied"))
+    often = often.where("copied or least <> most").withColumn("k", F.shiftright("h1", 1)).select("h1", "h2", "k", "least")
+    hot = each.withColumn("k", F.shiftright("h1", 1)).join(often, ["h1", "h2", "k"])
+    if keep_first:
+        hot = hot.where(~spot.eqNullSafe(F.col("least")))
+    return out.unionByName(hot.select("doc_id", "tag", F.col("place").alias("a"), (F.col("place") + F.lit(window)).alias("b")))
 
 
 def extents(extent: int) -> tuple[int, int]:

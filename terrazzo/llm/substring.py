@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from terrazzo.llm import repeats
 
-WINDOW, GRAM = 20, 3
+WINDOW, GRAM = 20, 6
 #: Words of a broadcast shard: its automaton has at most twice as many states.
 SHARD = 50_000
 
@@ -86,9 +86,10 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().split()
 
 
-def word_tokens(text: str) -> np.ndarray:
+def word_tokens(text: str) -> tuple[np.ndarray, bytes]:
     x = xxhash.xxh3_64_intdigest
-    return np.array([x(w) for w in words_of(text)], np.uint64)
+    hashes = np.array([x(w) for w in words_of(text)], np.uint64)
+    return hashes, hashes.tobytes()
 
 
 def _cut(text: str):

@@ -2,13 +2,13 @@
 
 Remove every byte that lies in a ``window``-byte string which also starts
 somewhere else, in the same or another text. Candidate suffixes come in
-buckets of equal anchors (see ``repeats``) and one batch of buckets is sorted
-at a time. A suffix is compared by its first ``COVER`` bytes; ties among them
-are resolved by ranks computed beforehand for the suffixes at cover positions:
-those whose place modulo ``COVER`` is in ``RESIDUES``, a difference cover, so
-that any two suffixes reach a cover position at a common shift. A batch needs
-memory for its cover ranks and one short key per suffix, not for a whole
-suffix array.
+buckets of equal anchors (see ``repeats``); a block of whole buckets is sorted
+at a time. Suffixes are sorted by their first ``COVER`` bytes. Ties are
+resolved by ranks computed beforehand for the block's cover sample, the places
+whose residue modulo ``COVER`` is in ``RESIDUES``: for any two residues there is
+a shift below ``COVER`` that takes both suffixes to the sample, where two ranks
+say how the suffixes go on. A block needs memory for its sample's ranks and a
+few numbers per suffix, never for the suffixes themselves.
 """
 
 from __future__ import annotations
@@ -22,17 +22,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from terrazzo.llm import anchors, repeats
 
-WINDOW, GRAM = 400, 32
+WINDOW, GRAM = 400, 100
 COVER = 31
 #: A perfect difference set modulo 31: every difference occurs once.
 RESIDUES = (0, 1, 3, 8, 12, 18)
-_SHIFT = np.array([min((d - r) % COVER for d in RESIDUES) for r in range(COVER)])
+#: For two residues, the shift that takes places of both into the set.
+SHIFT = np.array([[next(s for s in range(COVER) if (a + s) % COVER in RESIDUES and (b + s) % COVER in RESIDUES) for b in range(COVER)] for a in range(COVER)])
 #: Suffixes sorted at a time.
 BATCH = 1 << 16
 
 
-def byte_tokens(text: str) -> np.ndarray:
-    return anchors.BYTE_VALUES[np.frombuffer(text.encode(), np.uint8)]
+def byte_tokens(text: str) -> tuple[np.ndarray, bytes]:
+    raw = text.encode()
+    return anchors.BYTE_VALUES[np.frombuffer(raw, np.uint8)], raw
 
 
 def _cut(text: str):
@@ -40,49 +42,84 @@ def _cut(text: str):
     return lambda x, y: b[x:y]
 
 
-def _rows(text: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    """The ``size`` bytes at every start."""
-    return sliding_window_view(text, size)[starts]
+def _gram_ranks(text: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:
+    """Ranks of the ``size`` bytes at every place."""
+    rows = np.ascontiguousarray(sliding_window_view(text, size)[places])
+    return np.unique(rows.view(f"V{size}").ravel(), return_inverse=True)[1]
 
 
-def _void(rows: np.ndarray) -> np.ndarray:
-    rows = np.ascontiguousarray(rows)
-    return rows.view(f"V{rows.shape[1]}").ravel()
+def _pair_ranks(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return np.unique(first.astype(np.int64) * (int(second.max(initial=0)) + 1) + second, return_inverse=True)[1]
 
 
-def classes(text: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
-    """A number for every suffix, equal where the first ``window`` bytes are.
+def window_ranks(text: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
+    """Ranks of the suffixes at ``starts`` by their first ``window`` bytes: equal where those are.
 
-    Suffixes whose windows are equal start at places of equal residue modulo
-    ``COVER``: callers lay texts out that way, so a common shift to the cover
-    is one that depends on the residue alone.
+    ``text`` holds at least ``window`` bytes from every start.
     """
-    if window <= 2 * COVER:
-        return np.unique(_void(_rows(text, starts, window)), return_inverse=True)[1]
-    at = starts + _SHIFT[starts % COVER]
-    places, back = np.unique(at, return_inverse=True)
-    ranks = np.unique(_void(_rows(text, places, window - COVER + 1)), return_inverse=True)[1]
-    rank = ranks[back].astype(np.uint32).reshape(-1, 1).view(np.uint8)
-    head = _rows(text, starts, COVER)
-    tail = _rows(text, starts + window - COVER, COVER)
-    residue = (starts % COVER).astype(np.uint8).reshape(-1, 1)
-    return np.unique(_void(np.hstack([head, residue, rank, tail])), return_inverse=True)[1]
-
-
-def repeated(regions: list[tuple[bytes, int, int, bool]], window: int) -> list[np.ndarray]:
-    """For regions ``(payload, windows, offset of the anchor, many)``: starts of repeated windows."""
-    blocks, places, at = [], [], 0
-    for payload, _, offset, _ in regions:
-        pad = -(at + offset) % COVER
-        blocks.append(b"\0" * pad + payload)
-        places.append(at + pad)
-        at += pad + len(payload)
-    text = np.frombuffer(b"".join(blocks) + b"\0" * COVER, np.uint8)
+    if window < 2 * COVER:
+        return _gram_ranks(text, starts, window)
+    blocks = (window - COVER + 1) // COVER
+    # One ranking of all strings of COVER bytes that are needed: heads, tails and the sample's.
+    sample = np.flatnonzero(np.isin(np.arange(len(text) - COVER + 1) % COVER, RESIDUES))
+    tails = [starts + window - 2 * COVER, starts + window - COVER]
+    grams = _gram_ranks(text, np.concatenate([starts, *tails, sample]), COVER)
+    head, *tails, rank = np.split(grams, np.cumsum([len(starts)] * 3))
+    # Doubling: places a multiple of COVER apart are in the sample together.
+    at = np.full(len(text) + blocks * COVER + 1, -1)
+    at[sample] = np.arange(len(sample))
+    size = 1
+    while size < blocks:
+        step = min(size, blocks - size)
+        ahead = at[sample + step * COVER]
+        rank = _pair_ranks(rank, np.where(ahead >= 0, rank[ahead] + 1, 0))
+        size += step
+    cover = np.full(len(text) + blocks * COVER + 1, -1)
+    cover[sample] = rank
+    return _resolve_ties(head, starts, cover, tails)
+
+
+def _resolve_ties(head: np.ndarray, starts: np.ndarray, cover: np.ndarray, tails: list[np.ndarray]) -> np.ndarray:
+    """Suffix ranks: all groups of equal heads are partitioned at once, each around a suffix of its own.
+
+    Two suffixes compare by the cover ranks at their common shift, then by
+    their tails; what equals the pivot is done, the rest go on.
+    """
+    order = np.argsort(head, kind="stable")
+    sizes = np.bincount(head)
+    rank = (np.cumsum(sizes) - sizes)[head]
+    open_ = order[sizes[head[order]] > 1]
+    residue = starts % COVER
+    while len(open_):
+        # ``open_`` is in order of rank; a group is a run of equal ranks.
+        group = rank[open_]
+        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        size = np.diff(np.append(first, len(open_)))
+        pivot = np.repeat(open_[first + size // 2], size)
+        shift = SHIFT[residue[open_], residue[pivot]]
+        sign = np.sign(cover[starts[open_] + shift] - cover[starts[pivot] + shift])
+        for tail in tails:
+            sign = np.where(sign == 0, np.sign(tail[open_] - tail[pivot]), sign)
+        again = np.lexsort((sign, group))
+        open_, group, sign = open_[again], group[again], sign[again]
+        part = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (sign[1:] != sign[:-1])]))
+        length = np.diff(np.append(part, len(open_)))
+        # The rank of a part is where it starts.
+        rank[open_] = np.repeat(group[part] + part - np.repeat(first, size)[part], length)
+        open_ = open_[(sign != 0) & (np.repeat(length, length) > 1)]
+    return rank
+
+
+def repeated(regions: list[tuple[bytes, int, bool]], window: int) -> list[np.ndarray]:
+    """For regions ``(payload, windows, many)``: starts of repeated windows."""
+    sizes = [len(r[0]) for r in regions]
+    text = np.frombuffer(b"".join(r[0] for r in regions), np.uint8)
     counts = np.array([r[1] for r in regions])
+    places = np.cumsum(sizes) - sizes
     starts = np.concatenate([np.arange(p, p + n) for p, n in zip(places, counts)])
-    number = classes(text, starts, window)
-    weight = np.repeat([2 if r[3] else 1 for r in regions], counts)
-    often = (np.bincount(number, weights=weight) > 1)[number]
+    rank = window_ranks(text, starts, window)
+    weight = np.repeat([2 if r[2] else 1 for r in regions], counts)
+    often = (np.bincount(rank, weights=weight) > 1)[rank]
     return [np.flatnonzero(x) for x in np.split(often, np.cumsum(counts)[:-1])]
 
 
@@ -105,8 +142,8 @@ def _resolver(window: int):
                     yield flush()
                     held, size = [], 0
                 last = anchor
-                count, offset = repeats.extents(extent)
-                held.append((doc, tag, place, (payload, count, offset, many)))
+                count = repeats.extents(extent)[0]
+                held.append((doc, tag, place, (payload, count, many)))
                 size += count
         if held:
             yield flush()

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from terrazzo.llm import anchors, linededup, substring, suffixes
+from terrazzo.llm import anchors, linededup, repeats, substring, suffixes
 
 
 def texts(seed, n=40):
@@ -71,8 +71,55 @@ def test_byte_repeats(frame, seed, window):
     assert got == brute_bytes(rows, window)
 
 
+def test_byte_repeats_at_the_window_of_the_query(frame, monkeypatch):
+    rng = random.Random(12)
+    rows = [(i, (t + " ") * rng.randrange(1, 4) + rng.choice(texts(9)) * 2) for i, t in enumerate(texts(13, 60))]
+    rows += [(500 + k, "left %d " % k + "shared passage of many words " * 20 + " right %d" % k) for k in range(30)]
+    want = brute_bytes(rows, suffixes.WINDOW)
+    assert 0 < sum(r[1] for r in want.values()) < sum(r[0] for r in want.values())
+    for limit in (repeats.LIMIT, 5):
+        monkeypatch.setattr(repeats, "LIMIT", limit)
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixes.remove_repeats(frame(rows)).collect()}
+        assert got == want
+
+
+def test_windows_of_hot_anchors(frame, monkeypatch):
+    monkeypatch.setattr(repeats, "LIMIT", 3)
+    rows = list(enumerate(texts(14)))
+    rows += [(100 + k, f"a{k} b{k} " + " ".join(f"p{j}" for j in range(30)) + f" c{k}") for k in range(40)]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring.remove_repeats(frame(rows), 20).collect()}
+    assert got == brute_words(rows, 20)
+
+
 def test_difference_cover():
     assert {(a - b) % suffixes.COVER for a in suffixes.RESIDUES for b in suffixes.RESIDUES} == set(range(suffixes.COVER))
+    for a in range(suffixes.COVER):
+        for b in range(suffixes.COVER):
+            assert {(a + suffixes.SHIFT[a, b]) % suffixes.COVER, (b + suffixes.SHIFT[a, b]) % suffixes.COVER} <= set(suffixes.RESIDUES)
+
+
+@pytest.mark.parametrize("window", [40, 61, 62, 93, 130, 400])
+def test_suffix_ranks_are_those_of_sorting(window):
+    rng = random.Random(window)
+    passage = "".join(rng.choice("ab") for _ in range(900))
+    text = ("a" * 700 + passage + "b" + passage[100:800] + "ab" * 300 + passage[37:] + "c" * 10 + passage).encode()
+    starts = np.array(rng.sample(range(len(text) - window + 1), 1500))
+    got = suffixes.window_ranks(np.frombuffer(text, np.uint8), starts, window)
+    strings = [text[s : s + window] for s in starts]
+    place = {x: k for k, x in reversed(list(enumerate(sorted(strings))))}
+    want = [place[x] for x in strings]
+    # Equal windows share a rank, and ranks are in the order of the windows.
+    assert np.unique(got, return_inverse=True)[1].tolist() == np.unique(want, return_inverse=True)[1].tolist()
+
+
+def test_contents_are_told_apart_where_polynomials_collide():
+    def thue(n, a, b):
+        return a if n == 0 else thue(n - 1, a, b) + thue(n - 1, b, a)
+
+    x, y = (thue(11, *p) for p in (("'", "C"), ("C", "'")))
+    head = "".join(chr(97 + k * 7 % 26) for k in range(200))
+    both = [anchors.regions(*suffixes.byte_tokens(head + t), len(head + t), 100) for t in (x, y)]
+    assert both[0].content[0] != both[1].content[0]
 
 
 def test_regions_own_every_window_once(monkeypatch):
@@ -80,13 +127,13 @@ def test_regions_own_every_window_once(monkeypatch):
     tokens = anchors.mixed(rng.integers(0, 5, 5000).astype(np.uint64))
     for piece in (anchors.PIECE, 700):
         monkeypatch.setattr(anchors, "PIECE", piece)
-        r = anchors.regions(tokens, 30, 4)
+        r = anchors.regions(tokens, tokens.tobytes(), 30, 4)
         assert r.lo[0] == 0 and (r.lo[1:] == r.lo[:-1] + r.count[:-1]).all() and r.count.sum() == 5000 - 29
         at = np.repeat(r.anchor, r.count)
         windows = {}
         for k in range(len(at)):
             assert windows.setdefault(tokens[k : k + 30].tobytes(), at[k]) == at[k]
-    assert len(anchors.regions(tokens[:10], 30, 4).lo) == 0
+    assert len(anchors.regions(tokens[:10], tokens[:10].tobytes(), 30, 4).lo) == 0
 
 
 def test_reference_shards(frame, spark, monkeypatch):
