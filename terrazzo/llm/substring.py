@@ -5,17 +5,19 @@ suffix automata of reference shards: the matching statistics of a text (the
 longest suffix, at each word, that the reference holds) show every span at or
 above the window length.
 
-``remove_against`` broadcasts the automata of a reference table, shard by
-shard, each of a fixed number of words. ``remove_repeats`` takes the corpus
-itself as reference. That has no size bound to broadcast, so its shards are
-keyed: all regions that share an anchor are one shard, streamed in document
-order through an automaton that grows by what it has already seen (see
-``repeats``), so each match is one that starts earlier.
+``remove_against`` writes the automata of a reference table, each of a bounded
+number of words, and broadcasts as many at a time as ``BROADCAST`` bytes hold.
+``remove_repeats`` takes the corpus itself as reference. That has no size bound
+to broadcast, so its shards are keyed: all regions that share an anchor are one
+shard, streamed in document order through an automaton that grows by what it
+has already seen (see ``repeats``), so each match is one that starts earlier.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+import pickle
 from collections.abc import Iterable
 
 import numpy as np
@@ -25,10 +27,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrazzo.llm import repeats
+from terrazzo.llm.tiles import by_group
+from terrazzo.storage import discard, materialize
 
 WINDOW, GRAM = 20, 6
 #: Words of a broadcast shard: its automaton has at most twice as many states.
 SHARD = 50_000
+#: Bytes of automata that are broadcast at once.
+BROADCAST = 64 << 20
 
 
 class Automaton:
@@ -63,10 +69,10 @@ class Automaton:
         self.last = new
 
     def add(self, words: Iterable[bytes]) -> None:
-        """Take in a sequence; a separator that equals nothing keeps sequences apart."""
+        """Take in a sequence; a separator that equals no word keeps sequences apart."""
         for w in words:
             self._extend(w)
-        self._extend(object())
+        self._extend(len(self.next))
 
     def window_starts(self, words: list[bytes], window: int) -> np.ndarray:
         """Starts of windows of ``words`` that a sequence taken in holds."""
@@ -157,45 +163,78 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, digest: bool = False)
     return _apply(repeats.with_ranges(rows, spans), digest)
 
 
+def _short(words: list[bytes]) -> list[bytes]:
+    """Words of 16 bytes or more by their 128-bit hash, so that an automaton's size follows from its words."""
+    return [w if len(w) < 16 else xxhash.xxh3_128_digest(w) for w in words]
+
+
+def automata(reference: DataFrame, window: int) -> tuple[DataFrame, str]:
+    """Written ``(shard, automaton)`` of ``reference``'s texts, and the path.
+
+    Texts are cut into pieces that overlap by a window less one word; equal
+    pieces are one, and pieces are dealt by hash to shards of about ``SHARD`` words.
+    """
+
+    def cut(batches):
+        for batch in batches:
+            pieces = []
+            for text in batch.column(0).to_pylist():
+                w = words_of(text)
+                pieces += [w[a : a + SHARD // 2 + window - 1] for a in range(0, len(w) - window + 1, SHARD // 2)]
+            yield pa.RecordBatch.from_arrays([pa.array([b" ".join(p) for p in pieces], pa.binary()), pa.array(list(map(len, pieces)), pa.int64())], ["piece", "n"])
+
+    def build(batches):
+        for group in by_group(batches, ["shard"], few=1):
+            automaton = Automaton()
+            for piece in group.column("piece").to_pylist():
+                automaton.add(_short(piece.split()))
+            yield pa.RecordBatch.from_arrays([group.column("shard").combine_chunks().slice(0, 1), pa.array([pickle.dumps(automaton, 5)], pa.binary())], ["shard", "automaton"])
+
+    pieces, path = materialize(reference.select("text").mapInArrow(cut, "piece binary, n long").dropDuplicates(["piece"]), "pieces")
+    words = pieces.agg(F.sum("n")).first()[0] or 0
+    shards = max(1, math.ceil(words / SHARD))
+    dealt = pieces.select(F.pmod(F.xxhash64("piece"), F.lit(shards)).cast("long").alias("shard"), "piece")
+    built, built_path = materialize(dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(build, "shard long, automaton binary"), "automata")
+    discard(reference.sparkSession, path)
+    return built, built_path
+
+
 def remove_against(docs: DataFrame, reference: DataFrame, window: int = WINDOW, digest: bool = False) -> DataFrame:
     """As ``remove_repeats``, for windows that a ``text`` of ``reference`` holds.
 
-    The reference is cut on its way to the driver into shards of ``SHARD``
-    words that overlap by a window less one word; one automaton is broadcast at
-    a time and all documents are streamed against it. Null reference texts are
-    passed over; with an empty reference nothing is removed.
+    Every round broadcasts serialised automata of at most ``BROADCAST`` bytes,
+    or one if that is larger, streams all documents against them and writes
+    what it found. Null reference texts are passed over; with an empty
+    reference nothing is removed.
     """
     spark = docs.sparkSession
     rows = repeats.keyed(docs)
+    built, path = automata(reference, window)
+    rounds, size = [], BROADCAST
+    for r in built.select("shard", F.length("automaton").alias("n")).orderBy("shard").collect():
+        if size + r.n > BROADCAST:
+            rounds.append([])
+            size = 0
+        rounds[-1].append(r.shard)
+        size += r.n
     spans = spark.createDataFrame([], repeats.RANGES)
-
-    def shards():
-        held: list[list[bytes]] = []
-        for row in reference.select("text").where("text is not null").toLocalIterator():
-            w = words_of(row.text)
-            for a in range(0, max(1, len(w) - window + 1), SHARD):
-                held.append(w[a : a + SHARD + window - 1])
-                if sum(map(len, held)) >= SHARD:
-                    yield held
-                    held = []
-        if held:
-            yield held
-
-    for shard in shards():
-        shared = spark.sparkContext.broadcast(shard)
+    for members in rounds:
+        held = built.where(F.col("shard").isin(members)).select("automaton").collect()
+        shared = spark.sparkContext.broadcast([bytes(r.automaton) for r in held])
 
         def run(batches, shared=shared):
-            automaton = Automaton()
-            for words in shared.value:
-                automaton.add(words)
+            known = [pickle.loads(blob) for blob in shared.value]
             for batch in batches:
                 out = []
                 for doc, tag, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tag", "text"))):
-                    out += [(doc, tag, a, b) for a, b in repeats.runs(automaton.window_starts(words_of(text), window), window)]
+                    words = _short(words_of(text))
+                    out += [(doc, tag, a, b) for k in known for a, b in repeats.runs(k.window_starts(words, window), window)]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["doc_id", "tag", "a", "b"])
 
-        spans = spans.unionByName(rows.mapInArrow(run, repeats.RANGES))
+        spans = spans.unionByName(materialize(rows.mapInArrow(run, repeats.RANGES), "matches")[0])
+        shared.destroy()
+    discard(spark, path)
     return _apply(repeats.with_ranges(rows, spans), digest)
 
 

@@ -138,10 +138,13 @@ def test_regions_own_every_window_once(monkeypatch):
 
 def test_reference_shards(frame, spark, monkeypatch):
     monkeypatch.setattr(substring, "SHARD", 25)
-    passage = " ".join(f"p{k}" for k in range(70))
-    rows = [(1, "a b " + " ".join(passage.split()[10:40]) + " c"), (2, "nothing here"), (3, None)]
-    got = {r.doc_id: (r.n_removed, r.kept) for r in substring.remove_against(frame(rows), spark.createDataFrame([(passage,), (None,)], "text string"), 8).collect()}
-    assert got == {1: (30, "a b c"), 2: (0, "nothing here"), 3: (0, "")}
+    monkeypatch.setattr(substring, "BROADCAST", 5000)
+    passage = " ".join(f"p{k}" + "x" * (k % 20) for k in range(70))
+    rows = [(1, "a b " + " ".join(passage.split()[10:40]) + " c"), (2, "nothing here"), (3, None), (4, passage)]
+    reference = spark.createDataFrame([(passage,), (None,), (passage,), ("too short",)], "text string")
+    got = {r.doc_id: (r.n_removed, r.kept) for r in substring.remove_against(frame(rows), reference, 8).collect()}
+    assert got == {1: (30, "a b c"), 2: (0, "nothing here"), 3: (0, ""), 4: (70, "")}
+    assert substring.remove_against(frame(rows), reference.limit(0), 8).where("n_removed > 0").count() == 0
 
 
 def test_line_windows(frame, spark):
