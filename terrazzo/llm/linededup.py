@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrazzo.llm import repeats
+from terrazzo.storage import materialize
 
 WINDOW = 3
 SCHEMA = "doc_id long, n_lines long, n_removed long, kept string"
@@ -65,11 +66,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, digest: bool = False)
 
 
 def _later(rows: DataFrame, window: int) -> DataFrame:
-    """Ranges of lines under windows that occur earlier too."""
-    found = windows(rows, window)
+    """Ranges of lines under windows that occur earlier too.
+
+    Windows are hashed and written once; so are the first places of those that
+    repeat, so that both sides of the join are dealt afresh and the rows of a
+    very common window can be split.
+    """
+    found, _ = materialize(windows(rows, window), "lines")
     spot = F.struct("doc_id", "tag", "place")
     firsts = found.groupBy("h1", "h2").agg(F.min(spot).alias("first"), F.max(spot).alias("last")).where("first <> last").select("h1", "h2", "first")
-    later = found.join(firsts, ["h1", "h2"]).where(~(F.struct("doc_id", "tag", "place").eqNullSafe(F.col("first"))))
+    later = found.join(materialize(firsts, "firsts")[0], ["h1", "h2"]).where(~(F.struct("doc_id", "tag", "place").eqNullSafe(F.col("first"))))
     return later.select("doc_id", "tag", F.col("place").alias("a"), (F.col("place") + F.lit(window)).alias("b"))
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrazzo.storage import materialize
+from terrazzo.storage import discard, materialize
 
 MAX_ROWS = 20_000
 MAX_TERMS = 2_000
@@ -175,13 +175,17 @@ def _counts(rows: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Learn terms and event weights.
+    """Learn terms and event weights from ``docs`` that ``labels`` marks, joined by ``doc_id``.
 
-    Without labelled rows of both kinds nothing tells them apart: the model
+    Null ids, labels and texts teach nothing; rows repeated in either table
+    count as often as they are there, up to the sample's bound. Other columns
+    are not read. Without labelled rows of both kinds nothing tells them apart: the model
     scores the smoothed share of toxic rows, below ``THRESHOLD``, for every
     text, so that none is rejected.
     """
     rows, (clean, bad) = sample(docs, labels)
+    # At most MAX_ROWS texts, which are read three times.
+    rows, path = materialize(rows, "sample")
     heavy = F.col("toxic") * bad
     share = heavy / (heavy + (F.col("total") - F.col("toxic")) * clean)
     weight = F.when(F.col("toxic") > 0, bad).otherwise(clean)
@@ -201,6 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     schema = ", ".join(f"{e} double" for e in EVENTS) + ", toxic int"
     # Distinct event rows are few: counts of words under conditions.
     seen = rows.mapInArrow(run, schema).groupBy(*EVENTS, "toxic").count().orderBy(F.desc("count"), *EVENTS, "toxic").limit(MAX_ROWS).collect()
+    discard(docs.sparkSession, path)
     if not seen or len({r.toxic for r in seen}) < 2:
         n, toxic = sum(r["count"] for r in seen), sum(r["count"] for r in seen if r.toxic > 0)
         prior = min((toxic + 1) / (n + 20), THRESHOLD / 2)
@@ -251,7 +256,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def reject(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs``, all columns, without rows that score at or above ``threshold``."""
+    """``docs``, all columns, without rows that score at or above ``threshold``.
+
+    Only the text decides: null and blank texts stay, as their score is that of
+    a text without events; equal texts share their fate, whatever their ids;
+    an empty table stays empty.
+    """
 
     @F.pandas_udf("double")
     def scored(text: pd.Series) -> pd.Series:

@@ -47,6 +47,42 @@ def test_learning(frame, spark, odd, none):
     assert toxicity.fit(docs, only).terms == {}
 
 
+def brute_events(model, text):
+    """The grammar read off its description: what is in force at each word, clause by clause."""
+    out = dict.fromkeys(toxicity.EVENTS, 0.0)
+    for clause in re.split(r"[.!?;\n]", text.lower()):
+        words = re.findall(r"[^\W\d_]+(?:'[^\W\d_]+)?", clause)
+        kind = []
+        for w in words:
+            insult = max([model.terms.get(w, 0.0)] + [model.terms.get(w[:k] + "*", 0.0) for k in (4, 5, 6) if len(w) >= k])
+            kind.append("i" if insult else "t" if w in toxicity.THREATS else "p" if w in toxicity.TARGETS else "n" if w in toxicity.NEGATIONS else "r" if w in toxicity.REPORTS else "o")
+            before = lambda c, reach, k=len(kind) - 1: c in kind[max(0, k - reach) : k]
+            under = "_reported" if "r" in kind[:-1] else "_negated" if before("n", 3) else ""
+            if kind[-1] == "i":
+                out["insult" + (under or ("_targeted" if before("p", 4) else ""))] += insult
+            if kind[-1] == "p" and before("t", 4):
+                out["threat" + under] += 1.0
+    return [out[e] for e in toxicity.EVENTS]
+
+
+def test_events_against_a_plain_reading():
+    rng = random.Random(21)
+    model = toxicity.Model({"fool": 1.0, "dolt*": 0.9, "scoundr*": 0.95})
+    words = "you he the a not never said says kill burn fool doltish scoundrel tree house walks . ! ; \n".split(" ")
+    for _ in range(400):
+        text = " ".join(rng.choice(words) for _ in range(rng.randrange(0, 60)))
+        assert model.events(text).tolist() == pytest.approx(brute_events(model, text))
+
+
+def test_held_out_accuracy(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    scored = toxicity.op3(spark, d).join(labels.where("toxic is not null"), "doc_id").where("held_out")
+    n = {(r.toxic, r.predicted): r["count"] for r in scored.groupBy("toxic", "predicted").count().collect()}
+    toxic, clean = n.get((1, 1), 0) + n.get((1, 0), 0), n.get((0, 1), 0) + n.get((0, 0), 0)
+    assert toxic > 50 and n.get((1, 1), 0) >= 0.9 * toxic and n.get((0, 1), 0) <= 0.02 * clean
+
+
 def test_labels_of_one_kind_reject_nothing(frame, spark):
     docs = frame([(k, f"a plain text about rain number {k}") for k in range(40)])
     for rows in ([], [(k, 0) for k in range(40)], [(k, 1) for k in range(40)]):
