@@ -1,8 +1,10 @@
 """SimHash near-duplicates over a Gray-order hierarchical index.
 
-Fingerprints that may differ in ``bits`` places are dealt by ``bits + 1``
-blocks: any two within that distance agree on a whole block. Inside a block
-value, distinct fingerprints are sorted by Gray rank, so that neighbours share
+Fingerprints that may differ in ``bits`` places are cut into more than ``bits``
+blocks: any two within that distance agree on all but ``bits`` of them, so they
+are dealt by every choice of so many blocks. The number of blocks, and with it
+the length of a key, follows from the number of fingerprints. Inside a key,
+distinct fingerprints are sorted by Gray rank, so that neighbours share
 most of their bits; runs of ``FAN`` neighbours factor what they share (a mask
 and a pattern) into an upper node, level by level. A search walks down from
 the root, adding the differences of each node's own mask, and drops a whole
@@ -14,13 +16,12 @@ spanning forest of its links, so groups of copies never become pairs.
 
 from __future__ import annotations
 
-import math
-from itertools import accumulate
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrazzo.llm.anchors import mixed
@@ -119,31 +120,42 @@ class GrayIndex:
             yield who + at, self.order[node]
 
 
-def link_tile(codes: np.ndarray, lower: np.ndarray, same: bool, bound: int, close=None) -> np.ndarray:
-    """Labels of a tile's codes: members of the first chunk query the index of the second.
-
-    ``close(a, b)`` may decide further which of the pairs found link.
-    """
+def link_tile(codes: np.ndarray, lower: np.ndarray, same: bool, bound: int) -> np.ndarray:
+    """Labels of a tile's codes: members of the first chunk query the index of the second."""
     labels, every = np.arange(len(codes)), np.arange(len(codes))
     left = np.flatnonzero(lower) if not same else every
     right = np.flatnonzero(~lower) if not same else every
     index = GrayIndex(codes[right])
     for a, b in index.within(codes[left], bound):
-        a, b = left[a], right[b]
-        apart = labels[a] != labels[b]
-        a, b = a[apart], b[apart]
-        if close is not None and len(a):
-            near = close(a, b)
-            a, b = a[near], b[near]
-        labels = merge_labels(labels, a, b)
+        labels = merge_labels(labels, left[a], right[b])
     return labels
 
 
-def links(reps: DataFrame, bits: int = 4) -> DataFrame:
+def block_count(n: int, bits: int) -> int:
+    """Blocks to cut 64 bits into, so that ``n`` spread fingerprints put at most ``TILE`` into a key; at most ``bits`` + 4."""
+    for blocks in range(bits + 1, bits + 4):
+        if n >> (64 * (blocks - bits) // blocks) <= TILE:
+            return blocks
+    return bits + 4
+
+
+def keys_of(fp: str, bits: int, blocks: int) -> list[Column]:
+    """A key for every choice of ``blocks - bits`` blocks: the blocks' bits, told apart by the choice."""
+    cuts = [round(k * 64 / blocks) for k in range(blocks + 1)]
+    part = [F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(cuts, cuts[1:])]
+    out = []
+    for n, chosen in enumerate(combinations(range(blocks), blocks - bits)):
+        key = F.lit(n).cast("long")
+        for k in chosen:
+            key = F.shiftleft(key, cuts[k + 1] - cuts[k]).bitwiseOR(part[k])
+        out.append(key)
+    return out
+
+
+def links(reps: DataFrame, bits: int = 4, blocks: int | None = None) -> DataFrame:
     """Spanning links ``(a, b)`` between the ``rep`` of distinct ``fp`` within ``bits`` bits."""
-    cuts = [round(k * 64 / (bits + 1)) for k in range(bits + 2)]
-    blocks = [F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) + F.lit(k << 32) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
-    dealt = tiled(reps.withColumn("block", F.explode(F.array(*blocks))), "block", "fp", TILE)
+    blocks = blocks or block_count(reps.count(), bits)
+    dealt = tiled(reps.withColumn("block", F.explode(F.array(*keys_of("fp", bits, blocks)))), "block", "fp", TILE)
     keys = ["block", "_lo", "_hi"]
 
     def run(batches):
@@ -178,10 +190,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, bits: int = 4) -> DataFrame
     return prints.join(classes, F.col("fp") == F.col("_fp")).select("doc_id", text.alias("fingerprint"), "component_id")
 
 
-#: Further 64-bit words of a wide fingerprint, and how the angle it shows may exceed the one asked for.
-WIDE, SLACK = 4, 1.0
-#: Bits of the first word in which the fingerprints of similar texts may differ.
-REACH = 12
 #: Bands of a MinHash signature and minima in a band: one agrees at 0.8 with probability 1 - (1 - 0.8 ** 5) ** 24 = 0.99993.
 BANDS, DEEP = 24, 5
 #: Sets of a tile of exact comparisons; shingles whose minima are taken at once.
@@ -230,75 +238,46 @@ def link_sets(flat: np.ndarray, size: np.ndarray, lower: np.ndarray, same: bool,
     return out
 
 
-def wide_fingerprint(hashes: np.ndarray) -> list[int]:
-    """``WIDE`` fingerprint words, each over another scrambling of the hashes."""
-    out = [fingerprint(hashes)]
-    for _ in range(WIDE - 1):
-        hashes = mixed(hashes + np.uint64(0x9E3779B97F4A7C15))
-        out.append(fingerprint(hashes))
-    return out
-
-
-def angle_bits(similarity: float) -> float:
-    """Differing bits, over a wide fingerprint, of two equally large sets of that Jaccard similarity.
-
-    One standard deviation is added, so that few pairs at the bound are lost.
-    """
-    bits = 64 * WIDE
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return bits * p + SLACK * math.sqrt(bits * p * (1 - p))
-
-
 def _set_key(shingles: np.ndarray) -> tuple[int, int]:
     key = xxhash.xxh3_128_intdigest(shingles.tobytes(), SEED)
     return key >> 64, key & 0xFFFFFFFFFFFFFFFF
 
 
-def candidates(reps: DataFrame, similarity: float) -> DataFrame:
-    """Links ``(a, b)`` whose classes hold together nearly all sets of at least that similarity, and others.
+def candidates(sets: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` whose classes hold together nearly all similar sets, and others.
 
-    By SimHash, fingerprints within ``REACH`` bits in the first word whose
-    whole angle and sizes allow the similarity; by MinHash, sets that share a
+    ``sets`` has ``(node, fp, bands)``. By SimHash, sets of equal fingerprints
+    and of ones that the Gray-order index finds; by MinHash, sets that share a
     band, linked to the band's smallest. Tasks emit spanning forests.
     """
-    names = [f"fp{k}" for k in range(WIDE)]
-    cuts = [round(k * 64 / (REACH + 1)) for k in range(REACH + 2)]
-    part = F.floor(F.log(F.col("size").cast("double")) / -math.log(similarity)).cast("int") + 1
-    blocks = [F.shiftrightunsigned("fp0", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) + F.lit(k << 8) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
-    able = reps.select("rep", *names, "size").withColumn("part", F.explode(F.array(part, part - 1)))
-    spread = able.withColumn("block", F.explode(F.array(*blocks))).withColumn("block", (F.col("part").cast("long") * 65536) + F.col("block"))
-    dealt = tiled(spread, "block", "rep", TILE)
-    keys, bound, ratio = ["block", "_lo", "_hi"], angle_bits(similarity), similarity
+    prints, _ = materialize(sets.groupBy("fp").agg(F.min("node").alias("rep")), "simhash-prints")
+    equal = sets.select("fp", "node").join(prints, "fp").where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    banded = sets.select("node", F.explode("bands").alias("band"))
+    low = banded.groupBy("band").agg(F.min("node").alias("b"), F.max("node").alias("_top")).where("b < _top").drop("_top")
+    # The second key has both sides exchanged, so that the rows of a hot band can be split.
+    half = F.shiftright("band", 1)
+    shared = banded.withColumn("k", half).join(low.withColumn("k", half), ["band", "k"]).where("node <> b").select(F.col("node").alias("a"), "b")
+    return links(prints).unionByName(equal).unionByName(shared)
 
-    def run(batches):
-        for t in by_group(batches, keys):
-            words_ = np.stack([t.column(n).to_numpy().view(np.uint64) for n in names])
-            size, reps = t.column("size").to_numpy(), t.column("rep").to_numpy()
-            lo, hi = t.column("_lo")[0].as_py(), t.column("_hi")[0].as_py()
-            lower = t.column("_mine").to_numpy() == lo
 
-            def close(a, b, w=words_, size=size):
-                far = sum(np.bitwise_count(x[a] ^ x[b]).astype(np.int64) for x in w)
-                return (far <= bound) & (np.minimum(size[a], size[b]) >= ratio * np.maximum(size[a], size[b]))
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Rows by id and text: ``_void``, ``_id`` and ``_tag`` are never null, and ``_row`` holds every column."""
+    return docs.select(F.struct("*").alias("_row"), F.col("doc_id").isNull().alias("_void"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), F.xxhash64("text").alias("_tag"))
 
-            labels = link_tile(words_[0], lower, lo == hi, REACH, close)
-            linked = np.flatnonzero(labels != np.arange(len(labels)))
-            if len(linked):
-                yield pa.RecordBatch.from_arrays([pa.array(reps[linked]), pa.array(reps[labels[linked]])], ["a", "b"])
 
-    angled = grouped(dealt.select(*keys, "_mine", *names, "size", "rep"), keys).mapInArrow(run, "a long, b long")
-    banded = reps.select("rep", F.explode("bands").alias("band"))
-    low = banded.groupBy("band").agg(F.min("rep").alias("b"), F.max("rep").alias("_top")).where("b < _top").drop("_top")
-    # The second key has both sides exchanged, so that the rows of a hot band can be split.
-    half = F.shiftright("band", 1)
-    shared = banded.withColumn("k", half).join(low.withColumn("k", half), ["band", "k"]).where("rep <> b").select(F.col("rep").alias("a"), "b")
-    return angled.unionByName(shared)
+_KEY = ["_void", "_id", "_tag"]
+
+
+def _first_rows(rows: DataFrame) -> DataFrame:
+    """One of the rows that repeat both id and text."""
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*_KEY).orderBy(*_KEY))).where("_n = 1").drop("_n")
 
 
 def verified(docs: DataFrame, classes: DataFrame, words: int, similarity: float) -> DataFrame:
     """Spanning links ``(a, b)`` of the pairs inside a class whose shingle sets are similar enough, compared exactly.
 
-    ``classes`` has ``(rep, k0, k1, component)`` of every set with a candidate.
+    ``classes`` has ``(node, component)`` of every set with a candidate, and
+    the ``head`` row whose text it is.
     """
 
     def sets(batches):
@@ -306,30 +285,55 @@ def verified(docs: DataFrame, classes: DataFrame, words: int, similarity: float)
             # A few texts at a time: their sets are as large as the texts.
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                found = [np.unique(shingle_hashes(t, words)) for t in part.column(1).to_pylist()]
-                key = np.array([_set_key(s) for s in found], np.uint64).reshape(-1, 2).view(np.int64)
+                found = [np.unique(shingle_hashes(t, words)) for t in part.column(2).to_pylist()]
                 ends = pa.array(np.append(0, np.cumsum([len(s) for s in found])), pa.int32())
                 flat = pa.array(np.concatenate(found).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, key.T.copy()), pa.ListArray.from_arrays(ends, flat)], ["rep", "k0", "k1", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(ends, flat)], ["component", "node", "shingles"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(classes.select("rep").distinct(), "rep", "left_semi")
-    held = texts.mapInArrow(sets, "rep long, k0 long, k1 long, shingles array<long>").join(classes, ["rep", "k0", "k1"]).select("component", "rep", "shingles")
-    held, _ = materialize(held, "simhash-sets")
+    heads = classes.select("component", "node", F.col("head.void").alias("_void"), F.coalesce("head.doc_id", F.lit(0)).alias("_id"), F.col("head.tag").alias("_tag"))
+    texts = _first_rows(_keyed(docs.select("doc_id", "text")).join(heads, _KEY)).select("component", "node", F.col("_row.text").alias("text"))
+    held, _ = materialize(texts.mapInArrow(sets, "component long, node long, shingles array<long>"), "simhash-sets")
     keys = ["component", "_lo", "_hi"]
 
     def run(batches):
         for t in by_group(batches, keys):
-            lists, reps = t.column("shingles").combine_chunks(), t.column("rep").to_numpy()
+            lists, nodes = t.column("shingles").combine_chunks(), t.column("node").to_numpy()
             lo, hi = t.column("_lo")[0].as_py(), t.column("_hi")[0].as_py()
             lower = t.column("_mine").to_numpy() == lo
             size = lists.value_lengths().to_numpy().astype(np.int64)
             labels = link_sets(lists.flatten().to_numpy(), size, lower, lo == hi, similarity)
             linked = np.flatnonzero(labels != np.arange(len(labels)))
             if len(linked):
-                yield pa.RecordBatch.from_arrays([pa.array(reps[linked]), pa.array(reps[labels[linked]])], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[linked]), pa.array(nodes[labels[linked]])], ["a", "b"])
+
+    dealt = tiled(held, "component", "node", SETS)
+    return grouped(dealt.select(*keys, "_mine", "node", "shingles"), keys).mapInArrow(run, "a long, b long")
 
-    dealt = tiled(held, "component", "rep", SETS)
-    return grouped(dealt.select(*keys, "_mine", "rep", "shingles"), keys).mapInArrow(run, "a long, b long")
+
+def _classes(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Rows ``(doc_id, k0, k1, fp)``, and their sets ``(k0, k1, head, component)``; ``head`` is a set's first row."""
+
+    def prints(batches):
+        for batch in batches:
+            found = [np.unique(shingle_hashes(t, words)) for t in batch.column(2).to_pylist()]
+            key = np.array([_set_key(s) for s in found], np.uint64).reshape(-1, 2).view(np.int64)
+            fp = np.array([fingerprint(s) for s in found], np.uint64).view(np.int64)
+            size = pa.array([len(s) for s in found], pa.int64())
+            band = np.array([bands(s) for s in found], np.uint64).reshape(-1).view(np.int64)
+            band = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * BANDS, pa.int32()), pa.array(band))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, key.T.copy()), pa.array(fp), size, band], ["doc_id", "tag", "k0", "k1", "fp", "size", "bands"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), "text")
+    rows, _ = materialize(texts.mapInArrow(prints, "doc_id long, tag long, k0 long, k1 long, fp long, size long, bands array<long>"), "simhash")
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "tag")).alias("head")
+    # Rows of equal keys are of equal sets, and their other columns agree. Sets are numbered as they are written.
+    sets = rows.groupBy("k0", "k1").agg(head, F.min(F.struct("fp", "size", "bands")).alias("of")).select("k0", "k1", "head", "of.*")
+    sets, _ = materialize(sets.withColumn("node", F.monotonically_increasing_id()), "simhash-reps")
+    near = connected_components(candidates(sets.where("size > 0")))
+    closer, _ = materialize(sets.join(near, "node").select("node", "head", "component"), "simhash-near")
+    found = connected_components(verified(docs, closer, words, similarity))
+    sets = sets.join(found, "node", "left").select("k0", "k1", "head", F.coalesce("component", "node").alias("component"))
+    return rows, sets
 
 
 def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -340,44 +344,28 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFra
     are compared; a pair at the bound escapes it with a chance of about 1 in
     13,000, a closer one less. Equal sets are collapsed first. Nulls, short
     texts and repeated rows as in ``near_duplicates``, except that blank texts
-    are only similar to each other. ``fingerprint`` is of the set.
+    are only similar to each other and rows of one id but other texts are
+    documents of their own. ``fingerprint`` is of the set.
     """
-
-    def prints(batches):
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(t, words)) for t in batch.column(1).to_pylist()]
-            fp = np.array([wide_fingerprint(s) for s in sets], np.uint64).reshape(-1, WIDE).view(np.int64)
-            key = np.array([_set_key(s) for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
-            size = pa.array([len(s) for s in sets], pa.int64())
-            band = np.array([bands(s) for s in sets], np.uint64).reshape(-1).view(np.int64)
-            band = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(band))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, (*key.T.copy(), *fp.T.copy())), size, band], ["doc_id", "k0", "k1", *names, "size", "bands"])
-
-    names = [f"fp{k}" for k in range(WIDE)]
-    schema = "doc_id long, k0 long, k1 long, " + ", ".join(f"{n} long" for n in names) + ", size long, bands array<long>"
-    rows, _ = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(prints, schema), "simhash")
-    # Rows of equal keys are of equal sets, and their other columns agree.
-    first = F.min(F.struct(*names, "size", "bands")).alias("of")
-    reps, _ = materialize(rows.groupBy("k0", "k1").agg(F.min("doc_id").alias("rep"), first).select("k0", "k1", "rep", "of.*"), "simhash-reps")
-    near = connected_components(candidates(reps.where("rep is not null and size > 0"), similarity))
-    classes, _ = materialize(reps.where("size > 0").join(near, F.col("rep") == F.col("node")).select("rep", "k0", "k1", "component"), "simhash-near")
-    found = connected_components(verified(docs, classes, words, similarity))
-    classes = reps.join(found, F.col("rep") == F.col("node"), "left").select(F.col("k0").alias("_k0"), F.col("k1").alias("_k1"), F.coalesce("component", "rep").alias("component_id"))
-    text = F.lower(F.concat(*[F.lpad(F.hex(n), 16, "0") for n in names]))
-    return rows.join(classes, (F.col("k0") == F.col("_k0")) & (F.col("k1") == F.col("_k1"))).select("doc_id", text.alias("fingerprint"), "component_id")
+    rows, sets = _classes(docs, words, similarity)
+    first = sets.groupBy("component").agg(F.min("head").alias("first"))
+    named = sets.join(first, "component").select(F.col("k0").alias("_k0"), F.col("k1").alias("_k1"), F.col("first.doc_id").alias("component_id"))
+    text = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    return rows.join(named, (F.col("k0") == F.col("_k0")) & (F.col("k1") == F.col("_k1"))).select("doc_id", text.alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """Rows of ``docs``, all columns, one of each class of ``similar``: the one of the smallest id.
 
-    Of rows that repeat an id one stays; rows without an id stay where their
-    text equals no row's that has one, once for each text.
+    Rows without an id come after those that have one, rows of equal id are in
+    order of a hash of their text, and of rows that repeat both one stays. Null
+    and blank texts are one class. An empty table stays empty.
     """
-    found = similar(docs, words, similarity).where(F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
-    kept = found.select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    again = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return rows.dropDuplicates([c for c in ("doc_id", "text")]) if again else rows
+    _, sets = _classes(docs, words, similarity)
+    kept = sets.groupBy("component").agg(F.min("head").alias("head"))
+    kept = kept.select(F.col("head.void").alias("_void"), F.coalesce("head.doc_id", F.lit(0)).alias("_id"), F.col("head.tag").alias("_tag"))
+    rows = _first_rows(_keyed(docs).join(kept, _KEY))
+    return rows.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

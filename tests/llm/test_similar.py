@@ -48,25 +48,21 @@ def test_gray_index_finds_all_pairs():
     assert ranks.tolist() == list(range(16))
 
 
-def test_tile_asks_about_the_pairs_themselves(monkeypatch):
-    monkeypatch.setattr(simhash, "FRONTIER", 64)
-    rng = np.random.default_rng(4)
-    codes = np.unique(rng.integers(0, 1 << 20, 60, dtype=np.uint64))
-    asked = []
-    simhash.link_tile(codes, np.ones(len(codes), bool), True, 6, lambda a, b: asked.append((a.copy(), b.copy())) or np.ones(len(a), bool))
-    pairs = [(x, y) for a, b in asked for x, y in zip(a.tolist(), b.tolist())]
-    assert pairs and all(int(codes[x] ^ codes[y]).bit_count() <= 6 for x, y in pairs)
-
-
 def test_links_match_brute_force(spark, monkeypatch):
     monkeypatch.setattr(simhash, "TILE", 50)
     rng = np.random.default_rng(2)
     codes = rng.integers(0, 1 << 63, 30, dtype=np.uint64)
     codes = np.unique(np.concatenate([codes, *[codes[0] ^ (np.uint64(1) << rng.integers(0, 64, 60, dtype=np.uint64)) for _ in range(3)]]))
     reps = spark.createDataFrame([(int(c), k) for k, c in enumerate(codes.view(np.int64))], "fp long, rep long")
-    linked = [(r.a, r.b) for r in simhash.links(reps, 4).collect()]
     far = np.bitwise_count(codes[:, None] ^ codes[None, :])
-    assert components(len(codes), linked) == components(len(codes), list(zip(*np.nonzero(far <= 4))))
+    for blocks in (None, 6, 8):
+        linked = [(r.a, r.b) for r in simhash.links(reps, 4, blocks).collect()]
+        assert components(len(codes), linked) == components(len(codes), list(zip(*np.nonzero(far <= 4))))
+
+
+def test_keys_lengthen_with_the_fingerprints():
+    counts = [simhash.block_count(n, 4) for n in (0, 10**6, 10**8, 10**10, 10**12, 10**15)]
+    assert counts == sorted(counts) and counts[0] == 5 and counts[-1] <= 8
 
 
 def test_simhash_odd_rows(odd, none):
@@ -91,6 +87,10 @@ def test_keep_one(frame, odd, none):
     assert kept.columns == odd.columns
     assert sorted((r.doc_id or 0, len(r.text or "")) for r in kept.collect() if r.doc_id != 5) == [(0, 12), (1, 0), (4, 3), (7, len(odd.where("doc_id = 7").first().text))]
     assert simhash.keep_one(none).count() == 0
+    other = "another text of the same id, and long enough for shingles"
+    many = frame([(1, " ".join(base)), (1, other), (1, other), (None, other), (None, "no id, but a text of its own")]).selectExpr("*", "7 as _id", "8 as _row", "9 as node", "1 as _n")
+    rows = simhash.keep_one(many)
+    assert rows.columns == many.columns and sorted((r.doc_id or 0, len(r.text)) for r in rows.collect()) == sorted([(1, len(" ".join(base))), (1, len(other)), (0, 28)])
 
 
 def test_similar_is_exact_on_both_sides(frame, monkeypatch):
