@@ -8,6 +8,8 @@ it after losing an executor nor carry its plan statistics along.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,10 +25,33 @@ def scratch_root(spark: SparkSession) -> str:
     return (named or LOCAL_DIR).rstrip("/") + "/terrazzo"
 
 
+#: Scratch tables written inside each open ``scratch`` block.
+_open: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Removes the scratch tables written inside, but for paths taken off the list it yields."""
+    made: list[str] = []
+    _open.append(made)
+    try:
+        yield made
+    finally:
+        _open.remove(made)
+        for path in made:
+            discard(spark, path)
+
+
 def materialize(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    """Write ``df`` to the shared scratch folder; return it re-read, and its path."""
+    """Write ``df`` to the shared scratch folder; return it re-read, and its path.
+
+    Results of operators read such tables lazily, so outside a ``scratch``
+    block they stay until the folder is emptied.
+    """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
