@@ -75,18 +75,22 @@ def buckets(docs: DataFrame) -> tuple[Column, int]:
     """Expression that deals ``doc_id`` into ordered buckets of about ``BUCKET`` rows, and buckets per piece.
 
     The distribution of ids is taken as linear between ``PIECES`` quantiles,
-    so ids may be spread in any way; null ids come last, in a bucket of their own.
+    so ids may be spread in any way; null ids come last, in order of ``tag``,
+    a hash and so evenly spread, in as many further pieces at most.
     """
-    stats = docs.agg(F.count("doc_id").alias("n"), F.percentile_approx("doc_id", [k / PIECES for k in range(PIECES + 1)], 20 * PIECES).alias("q")).first()
-    cuts = sorted(set(stats.q or [0]))
-    fine = max(1, math.ceil(stats.n / max(1, len(cuts) - 1) / BUCKET))
+    stats = docs.agg(F.count("doc_id").alias("n"), F.count("*").alias("all"), F.percentile_approx("doc_id", [k / PIECES for k in range(PIECES + 1)], 20 * PIECES).alias("q")).first()
+    cuts, voids = sorted(set(stats.q or [0])), stats["all"] - stats.n
+    fine = max(1, math.ceil(stats.n / max(1, len(cuts) - 1) / BUCKET), math.ceil(voids / PIECES / BUCKET))
     bounds = F.array(*[F.lit(int(c)) for c in cuts])
     piece = F.greatest(F.lit(1), F.least(F.lit(max(1, len(cuts) - 1)), F.size(F.filter(bounds, lambda c: c <= F.col("doc_id")))))
     low = F.element_at(bounds, piece)
     high = F.element_at(bounds, F.least(piece + 1, F.lit(len(cuts))))
     part = F.floor((F.col("doc_id") - low).cast("double") / F.greatest(F.lit(1), high - low + 1).cast("double") * fine)
     inside = F.greatest(F.lit(0), F.least(F.lit(fine - 1), part))
-    return F.coalesce(piece.cast("long") * fine + inside, F.lit((PIECES + 2) * fine)).cast("long"), fine
+    lots = max(1, math.ceil(voids / BUCKET))
+    void = F.least(F.lit(lots - 1), F.floor((F.col("tag").cast("double") / 2.0**64 + 0.5) * lots)) + (PIECES + 2) * fine
+    # greatest and least pass over nulls, so a null id has to be asked for.
+    return F.when(F.col("doc_id").isNull(), void).otherwise(piece.cast("long") * fine + inside).cast("long"), fine
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -102,7 +106,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     spot = F.struct(F.col("doc_id").isNull().alias("void"), F.col("doc_id"), F.col("tag"))
     heads = keyed.groupBy("bucket").agg(F.min(spot).alias("head"))
     heads, _ = materialize(heads.withColumn("piece", F.call_function("div", F.col("bucket"), F.lit(fine).cast("long"))), "heads")
-    # Buckets follow one another inside a piece; of pieces there are PIECES and two more at most.
+    # Buckets follow one another inside a piece; of pieces there are twice PIECES and a few more at most.
     tails = heads.groupBy("piece").agg(F.max("bucket").alias("tail"))
     every = Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     tails = tails.select(F.col("piece").alias("_piece"), F.lag("tail").over(Window.orderBy("piece")).alias("_tail"), F.max("tail").over(every).alias("_last"))
