@@ -132,3 +132,9 @@ def bounding_box(code, level, levels: int) -> tuple[Column, Column, Column, Colu
 def levels_for(*shape: int) -> int:
     """Levels of a quadtree whose root spans a grid of that shape."""
     return max(0, max(shape) - 1).bit_length()
+
+
+def levels_of(*extents) -> Column:
+    """``levels_for`` of columns."""
+    most = F.greatest(*[_col(e) for e in extents]) if len(extents) > 1 else _col(extents[0])
+    return F.when(most <= 1, F.lit(0)).otherwise(F.length(F.bin(most - 1))).cast("int")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from terrazzo.functions import address
 from terrazzo.operators.components import connected_components
 from terrazzo.operators.labels import merge_labels
+from terrazzo.operators.series import numbered
 from terrazzo.operators.topology import same_value_edges, seam_value_edges
 from terrazzo.raster import Raster
 from terrazzo.storage import materialize
@@ -104,8 +105,7 @@ def members(labels: DataFrame) -> DataFrame:
 
 def ranked(labels: DataFrame) -> DataFrame:
     """``(k, cluster_id)``: clusters numbered from 0 in order of their first cell."""
-    ids = labels.where("n = cluster_id").select("cluster_id")
-    return ids.select((F.row_number().over(Window.orderBy("cluster_id")) - 1).cast("long").alias("k"), "cluster_id")
+    return numbered(labels.where("n = cluster_id").select("cluster_id").orderBy("cluster_id"), "k").select("k", "cluster_id")
 
 
 def at(labels: DataFrame, k: int) -> DataFrame:
@@ -137,8 +137,12 @@ def size_distribution(labels: DataFrame, compat: bool = False) -> DataFrame:
         counted = by.join(span, "v").select("v", (bin_ + 1).cast("long").alias("bin"))
     else:
         counted = by.select("v", F.col("size").alias("bin"))
+    # Sizes that occur are few; sums run over those, and the bins between two of them are filled in.
     counted = counted.groupBy("v", "bin").agg(F.count("*").alias("clusters"))
-    dense = span.select("v", F.explode(F.sequence(F.lit(1).cast("long"), "hi")).alias("bin"))
-    filled = dense.join(counted, ["v", "bin"], "left").select("v", "bin", F.coalesce("clusters", F.lit(0)).cast("long").alias("clusters"))
-    order = Window.partitionBy("v").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    return filled.select("v", "bin", "clusters", F.coalesce(F.sum("clusters").over(order), F.lit(0)).cast("long").alias("before"))
+    ends = span.select("v", F.col("hi").alias("bin"), F.lit(0).cast("long").alias("clusters"))
+    counted = counted.unionByName(ends).groupBy("v", "bin").agg(F.sum("clusters").alias("clusters"))
+    order = Window.partitionBy("v").orderBy("bin")
+    sparse = counted.withColumn("_from", F.coalesce(F.lag("bin").over(order), F.lit(0)) + 1)
+    sparse = sparse.withColumn("before", F.coalesce(F.sum("clusters").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
+    dense = sparse.withColumn("_bin", F.explode(F.sequence("_from", "bin")))
+    return dense.select("v", F.col("_bin").alias("bin"), F.when(F.col("_bin") == F.col("bin"), F.col("clusters")).otherwise(0).cast("long").alias("clusters"), "before")

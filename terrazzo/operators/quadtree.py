@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from terrazzo.functions import address
 from terrazzo.operators.components import connected_components
+from terrazzo.storage import materialize
 
 WHITE, BLACK = "white", "black"
 DIRECTIONS = ("east", "north", "west", "south")
@@ -82,6 +83,8 @@ def level_differences(tree: DataFrame, levels: int) -> DataFrame:
     1 where the equal-sized neighbour is subdivided, else the neighbour's level
     less the leaf's, at most 0; null at the border.
     """
+    # Written once: four branches read it.
+    tree, _ = materialize(tree, "leaves")
     sides = _sides(tree, levels).select("code", "level", "d")
     seen = neighbors(tree, levels).select("code", "level", "d", "to_level")
     diff = F.coalesce(F.col("to_level") - F.col("level"), F.lit(1))
@@ -96,6 +99,7 @@ def components(tree: DataFrame, levels: int) -> DataFrame:
     A touching pair is found from the smaller leaf, or from both if equal.
     ``component`` is the smallest code in it.
     """
+    tree, _ = materialize(tree, "leaves")
     colors = tree.select(F.col("code").alias("_c"), F.col("color").alias("_own"))
     pairs = neighbors(tree, levels).join(colors, F.col("code") == F.col("_c")).where("_own = to_color")
     found = connected_components(pairs, "code", "to_code")

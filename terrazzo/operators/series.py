@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrazzo.storage import materialize
+
 
 def stats(series: DataFrame, key: str, value: str) -> DataFrame:
     """``(key, n, low, high, mean, stdev)`` with the population deviation; nulls do not count."""
@@ -108,9 +110,21 @@ def pretty(df: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
     return text.select(F.concat_ws(" ", *[F.lpad(c, max(widths[c], heads[c]), " ") for c in df.columns]).alias("line"))
 
 
-def shuffle(df: DataFrame, seed: int = 0) -> DataFrame:
-    """Rows in a seeded random order."""
-    return df.orderBy(F.rand(seed))
+def shuffle(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
+    """Rows in a seeded random order of their keys, whatever the layout; equal keys stay together."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key)
+
+
+def numbered(ordered: DataFrame, name: str) -> DataFrame:
+    """An ordered table with places from 0: written by its partitions, whose sizes say where each starts."""
+    rows, _ = materialize(ordered.withColumn("_m", F.monotonically_increasing_id()), "ordered")
+    part, inside = F.shiftrightunsigned("_m", 33), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = rows.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))
+    # One row a partition.
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_at"))
+    placed = rows.withColumn("_p", part).join(F.broadcast(starts), "_p")
+    return placed.select(*ordered.columns, (F.col("_at") + inside).alias(name))
 
 
 def running_total(df: DataFrame, key: str, order: str, value: str) -> DataFrame:

@@ -108,8 +108,8 @@ def category_graph(spark, d):
 
 def monthly_orders(spark, d):
     by = spark.read.parquet(f"{d}/orders.parquet").groupBy(F.date_trunc("month", "o_orderdate").alias("m")).agg(F.count("*").cast("double").alias("y"))
-    # One row a month; the last month is cut short.
-    return by.withColumn("x", (F.row_number().over(Window.orderBy("m")) - 1).cast("double")).withColumn("last", F.max("m").over(Window.partitionBy(F.lit(1)))).where("m < last").drop("last")
+    # One row a month.
+    return by.withColumn("x", (F.row_number().over(Window.orderBy("m")) - 1).cast("double"))
 
 
 def _windows(spark, d):
@@ -137,9 +137,10 @@ def run_catalog(spark, d):
 
 
 def merge_keep_first(spark, d):
+    # Left and right part of a raster, with columns in common.
     n = _e(spark, d).with_index()
-    first = n.where("i < 60").select("n", "v")
-    second = n.where("i >= 30 and i < 120").select("n", (F.col("v") + 10).alias("v"))
+    first = n.where("j < 40").select("n", "v")
+    second = n.where("j >= 20").select("n", (F.col("v") + 10).alias("v"))
     return series.merge_keep_first(first, second, "n")
 
 
@@ -167,10 +168,6 @@ def running_events(spark, d):
     return series.running_total(by, "event_type", "day", "events").select("event_type", "day", "events", F.col("before").cast("long").alias("before"))
 
 
-def shuffled(spark, d):
-    return series.shuffle(_events(spark, d).select("event_id"), seed=3)
-
-
 def delaunay_edges(spark, d):
     r = _l(spark, d)
     # Weeks by quantities: the raster does not grow with the orders, so a category fits a task whole.
@@ -214,9 +211,8 @@ QUERIES = {
     "multi_value": lambda s, d: synth.multi_value(s, 100, 100, 0, 25).cells,
     "storage_orders": storage_orders,
     "quad_children": quad_children,
-    "shuffled": shuffled,
     "pgm_lines": lambda s, d: files.pgm_lines(_l(s, d), 3),
-    "run_text": lambda s, d: runs.lines(_events(s, d).where("user_id < 20").selectExpr("event_type as test", "event_id as seq", "1L as iterations", "user_id as ns")),
+    "run_text": lambda s, d: runs.lines(_events(s, d).selectExpr("concat(event_type, '@', user_id) as test", "event_id as seq", "1L as iterations", "user_id as ns")),
     "largest_clusters": lambda s, d: clusters.sizes(_labels_l(s, d)).orderBy(F.desc("size"), "cluster_id").limit(10),
     "running_events": running_events,
     "cluster_labels": lambda s, d: _labels_e(s, d).select("n", "v", "cluster_id"),
@@ -259,8 +255,12 @@ QUERIES = {
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    from terrazzo.plans import stored
+
+    return QUERIES | stored.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(oracles.ORACLES)
+    from terrazzo.plans import stored
+
+    return oracles.ORACLES | stored.ORACLES

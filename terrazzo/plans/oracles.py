@@ -62,7 +62,7 @@ QUAD = QUAD.replace("""SELECT s.code, s.level, s.color, s.d, o.code AS to_code,
     FROM sides s JOIN nodes q ON false JOIN boxed o ON true UNION ALL
     SELECT s.code, s.level, s.color, s.d, o.code, o.level, o.color FROM""", "SELECT s.code, s.level, s.color, s.d, o.code AS to_code, o.level AS to_level, o.color AS to_color FROM")
 MONTHS = """pts AS (SELECT row_number() OVER (ORDER BY m) - 1 AS k, x, y FROM (SELECT m, (row_number() OVER (ORDER BY m) - 1)::DOUBLE AS x, y FROM (
-    SELECT date_trunc('month', o_orderdate) AS m, count(*)::DOUBLE AS y FROM orders GROUP BY 1) WHERE m < (SELECT max(date_trunc('month', o_orderdate)) FROM orders))),
+    SELECT date_trunc('month', o_orderdate) AS m, count(*)::DOUBLE AS y FROM orders GROUP BY 1) )),
   win AS (SELECT a.k AS start, b.k - a.k + 1 AS width FROM pts a JOIN pts b ON b.k >= a.k + 4),
   fit AS (SELECT start, width, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, CASE WHEN regr_syy(y, x) > 0 THEN corr(y, x) END AS r, regr_syy(y, x) - regr_sxy(y, x) * regr_sxy(y, x) / regr_sxx(y, x) AS ssr
     FROM win JOIN pts ON pts.k BETWEEN start AND start + width - 1 GROUP BY start, width)"""
@@ -127,7 +127,7 @@ ORACLES: dict[str, str] = {
       SELECT i, j, v, i * 64 + j AS linear, (i * 64 + j) // 1024 * 1024 + (i * 64 + j) % 1024 // 32 + (i * 64 + j) % 32 * 32 AS blocked, (i // 32 * 2 + j // 32) * 1024 + i % 32 * 32 + j % 32 AS full_blocked, {morton('i', 'j', 7)} AS morton FROM m""",
     "quad_children": f"SELECT c AS code, q::INTEGER AS quarter, c + q * 16 AS child FROM (SELECT 64 * {morton('i', 'j', 6)} AS c FROM (SELECT unnest(range(0, 64)) AS i) CROSS JOIN (SELECT unnest(range(0, 64)) AS j)) CROSS JOIN (SELECT unnest(range(0, 4)) AS q)",
     "pgm_lines": f"WITH {L} SELECT height - i AS place, string_agg(v::VARCHAR, ' ' ORDER BY j) AS line FROM l CROSS JOIN dim GROUP BY height, i UNION ALL SELECT 0, 'P2 50 ' || height::VARCHAR || ' 3' FROM dim",
-    "run_text": "SELECT event_type AS test, event_type || chr(9) || string_agg('1 ' || user_id::VARCHAR, ' ' ORDER BY event_id) AS line FROM events WHERE user_id < 20 GROUP BY 1",
+    "run_text": "SELECT test, test || chr(9) || string_agg('1 ' || user_id::VARCHAR, ' ' ORDER BY event_id) AS line FROM (SELECT event_type || '@' || user_id::VARCHAR AS test, * FROM events) GROUP BY 1",
     "largest_clusters": f"{LL} SELECT v, cluster_id, count(*) AS size FROM lab GROUP BY ALL ORDER BY size DESC, cluster_id LIMIT 10",
     "running_events": "SELECT event_type, day, events, coalesce(sum(events) OVER (PARTITION BY event_type ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM (SELECT event_type, ts::DATE::VARCHAR AS day, count(*) AS events FROM events GROUP BY 1, 2)",
     "cluster_labels": f"{EL} SELECT n, v, cluster_id FROM lab",
@@ -172,6 +172,6 @@ ORACLES: dict[str, str] = {
     "series_clip": "SELECT event_id, event_type, value FROM events WHERE value > 1 AND value < 50",
     "pairwise_t": "WITH m AS (SELECT event_type AS k, count(value) AS n, avg(value) AS m, var_samp(value) AS s FROM events GROUP BY 1) SELECT a.k AS a, b.k AS b, round((a.m - b.m) / sqrt(((a.n - 1) * a.s + (b.n - 1) * b.s) / (a.n + b.n - 2) * (1.0::DOUBLE / a.n + 1.0::DOUBLE / b.n)), 9) AS t, a.n + b.n - 2 AS df FROM m a JOIN m b ON a.k <> b.k",
     "run_catalog": "WITH run AS (SELECT user_id, min(ts) AS started, arg_min(event_type, (ts, event_id)) AS build FROM events GROUP BY 1), build AS (SELECT event_type AS build, count(*) AS events FROM events GROUP BY 1) SELECT row_number() OVER (ORDER BY started, user_id) - 1 AS idx, user_id, build, events FROM run JOIN build USING (build)",
-    "merge_keep_first": f"WITH {E}, {cells('e', W_E)} SELECT n, v FROM cells WHERE i < 60 UNION ALL SELECT n, v + 10 FROM cells WHERE i >= 60 AND i < 120",
+    "merge_keep_first": f"WITH {E}, {cells('e', W_E)} SELECT n, v FROM cells WHERE j < 40 UNION ALL SELECT n, v + 10 FROM cells WHERE j >= 40",
     "cell_stream_counts": "SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS start, (user_id % 4)::INTEGER AS v, count(*) AS cells FROM events GROUP BY 1, 2",
 }

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import struct
 
 import numpy as np
@@ -57,16 +56,20 @@ def tiff_pixels(data: bytes, flip: bool = True) -> np.ndarray:
 def encode_tiff(array: np.ndarray, rows_per_strip: int = 64) -> bytes:
     """A baseline 8-bit TIFF of an array, its first row as the last scanline."""
     a = np.ascontiguousarray(array[::-1], np.uint8)
-    height, width = a.shape
-    strips = [a[r : r + rows_per_strip].tobytes() for r in range(0, height, rows_per_strip)]
-    n, start = len(strips), 8
-    offsets = [start + sum(map(len, strips[:k])) for k in range(n)]
-    data = b"".join(strips)
-    lists_at = start + len(data)
-    lists = struct.pack(f"<{n}I{n}I", *offsets, *map(len, strips))
-    entries = [(256, 4, 1, width), (257, 4, 1, height), (258, 3, 1, 8), (259, 3, 1, 1), (262, 3, 1, 1), (273, 4, n, offsets[0] if n == 1 else lists_at), (277, 3, 1, 1), (278, 4, 1, rows_per_strip), (279, 4, n, len(strips[0]) if n == 1 else lists_at + 4 * n)]
+    head, tail = _tiff_frame(*a.shape, rows_per_strip)
+    return head + a.tobytes() + tail
+
+
+def _tiff_frame(height: int, width: int, rows_per_strip: int) -> tuple[bytes, bytes]:
+    """What stands before and after the strips of a baseline TIFF."""
+    sizes = [min(rows_per_strip, height - r) * width for r in range(0, height, rows_per_strip)]
+    n, offsets = len(sizes), [8 + k * rows_per_strip * width for k in range(len(sizes))]
+    lists_at = 8 + height * width
+    lists = struct.pack(f"<{n}I{n}I", *offsets, *sizes)
+    one = n == 1
+    entries = [(256, 4, 1, width), (257, 4, 1, height), (258, 3, 1, 8), (259, 3, 1, 1), (262, 3, 1, 1), (273, 4, n, offsets[0] if one else lists_at), (277, 3, 1, 1), (278, 4, 1, rows_per_strip), (279, 4, n, sizes[0] if one else lists_at + 4 * n)]
     directory = struct.pack("<H", len(entries)) + b"".join(struct.pack("<HHII", *e) for e in entries) + b"\0\0\0\0"
-    return b"II" + struct.pack("<HI", 42, lists_at + len(lists)) + data + lists + directory
+    return b"II" + struct.pack("<HI", 42, lists_at + len(lists)), lists + directory
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -132,13 +135,46 @@ def read_dat(spark: SparkSession, path: str, shape: tuple[int, int]) -> Raster:
     return Raster(_files(spark, path).mapInArrow(run, CELLS).select("i", "j", "v"), width, height)
 
 
-def write_tiff(raster: Raster, path: str) -> None:
-    """One TIFF per call, for rasters that fit the driver; larger ones stay Parquet."""
-    a = np.zeros((raster.rows, raster.cols), np.uint8)
-    for row in raster.cells.toLocalIterator():
-        a[row.i, row.j] = row.v
-    with open(path, "wb") as f:
-        f.write(encode_tiff(a))
+def _scanlines(raster: Raster, flip: bool, block: int) -> DataFrame:
+    """``(strip, bytes)``: runs of ``block`` scanlines of a raster, absent cells 0; the last row comes first if ``flip``."""
+    height, width = raster.rows, raster.cols
+    line = F.lit(height - 1) - F.col("i") if flip else F.col("i")
+    rows = raster.cells.select(address.quotient(line, block).alias("strip"), F.pmod(line, F.lit(block)).alias("line"), "j", "v")
+
+    def run(table: pa.Table) -> pa.Table:
+        strip = table.column("strip")[0].as_py()
+        a = np.zeros((min(block, height - strip * block), width), np.uint8)
+        a[table.column("line").to_numpy(), table.column("j").to_numpy()] = table.column("v").to_numpy().astype(np.uint8)
+        return pa.table({"strip": pa.array([strip], pa.int64()), "bytes": pa.array([a.tobytes()], pa.binary())})
+
+    found = rows.groupBy("strip").applyInArrow(run, "strip long, bytes binary")
+    every = raster.cells.sparkSession.range(-(-height // block)).select(F.col("id").alias("strip"))
+    return every.join(found, "strip", "left").orderBy("strip")
+
+
+def _write_strips(raster: Raster, path: str, head: bytes, tail: bytes, flip: bool, block: int) -> None:
+    """One file, strip by strip, wherever Spark can write; executors build the strips and the driver holds one of them."""
+    spark = raster.cells.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
+    try:
+        out.write(bytearray(head))
+        for row in _scanlines(raster, flip, block).toLocalIterator():
+            out.write(bytearray(row.bytes) if row.bytes is not None else bytearray(min(block, raster.rows - row.strip * block) * raster.cols))
+        out.write(bytearray(tail))
+    finally:
+        out.close()
+
+
+def write_tiff(raster: Raster, path: str, rows_per_strip: int = 64) -> None:
+    """A baseline TIFF, the last row as the first scanline; a TIFF is one file, below 4 GB."""
+    head, tail = _tiff_frame(raster.rows, raster.cols, rows_per_strip)
+    _write_strips(raster, path, head, tail, True, rows_per_strip)
+
+
+def write_dat(raster: Raster, path: str) -> None:
+    """Headerless bytes, a row after the other."""
+    _write_strips(raster, path, b"", b"", False, 64)
 
 
 def pgm_lines(raster: Raster, maxval: int = 255) -> DataFrame:
@@ -173,6 +209,44 @@ def write_descriptors(rows: DataFrame, path: str) -> None:
     rows.select("size", "test", "times", "when").write.json(path)
 
 
+def write_descriptors_yaml(rows: DataFrame, path: str) -> None:
+    """One YAML document per run descriptor, parted by the usual ``---`` lines."""
+    item = lambda c: F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: x.cast("string")), ", "), F.lit("]"))
+    lines = (F.lit("---"), F.concat(F.lit("size: "), item("size")), F.concat(F.lit("test: "), F.to_json(F.struct("test")).substr(F.lit(9), F.length(F.to_json(F.struct("test"))) - 9)), F.concat(F.lit("times: "), item("times")), F.concat(F.lit("when: "), F.date_format("when", "yyyy-MM-dd HH:mm:ss")))
+    rows.select(F.concat_ws("\n", *lines)).write.text(path)
+
+
+def read_descriptors_yaml(spark: SparkSession, path: str) -> DataFrame:
+    """``(size, test, times, when)`` of all YAML documents below a path or glob; empty files and documents give no rows."""
+    import yaml
+
+    def run(batches):
+        for batch in batches:
+            found = [d for text in batch.column(0).to_pylist() for d in yaml.safe_load_all(text) if d]
+            cols = [[d.get(c) for d in found] for c in ("size", "test", "times", "when")]
+            kinds = (pa.list_(pa.int32()), pa.string(), pa.list_(pa.int64()))
+            when = [str(w) if w is not None else None for w in cols[3]]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds)), pa.array(when, pa.string())], ["size", "test", "times", "when"])
+
+    rows = spark.read.text(path, wholetext=True).mapInArrow(run, "size array<int>, test string, times array<long>, when string")
+    return rows.withColumn("when", F.to_timestamp("when"))
+
+
+def save_results(results: dict[str, DataFrame], path: str) -> None:
+    """Named result tables below one path."""
+    for name, df in results.items():
+        df.write.parquet(f"{path}/{name}")
+
+
+def load_results(spark: SparkSession, path: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/{name}")
+
+
+def write_capacities(curve: DataFrame, path: str) -> None:
+    """A box-count curve as text, whose lines carry sizes and counts only."""
+    capacity_lines(curve).select("line").write.text(path)
+
+
 def capacity_lines(curve: DataFrame) -> DataFrame:
     """``(v, eps, line)``: a box-count curve as fixed-width text."""
     pad = lambda c, n: F.lpad(F.col(c).cast("string"), n, " ")
@@ -185,10 +259,6 @@ def start(spark: SparkSession, path: str, shape: tuple[int, int]) -> tuple[Raste
     return raster, raster.cells.select("v").distinct()
 
 
-def metadata(raster: Raster) -> str:
-    return json.dumps({"rows": raster.rows, "cols": raster.cols})
-
-
 def by_storage_order(raster: Raster, path: str, parts: int = 16) -> None:
     """Cells as Parquet along the Morton curve, so that readers skip by min and max."""
     raster.sorted_by(address.morton("i", "j"), parts).write.parquet(path)
