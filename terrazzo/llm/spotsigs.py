@@ -151,32 +151,41 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """``(doc_id, component_id, n_links)``: classes of texts at least ``threshold`` alike.
 
     Equal sets are one class from the start. Sets are partitioned by length,
-    each class of lengths reaching as far as the threshold allows; two sets
-    that are alike enough share one of their first signatures in hash order, as
-    many as the threshold leaves, so they meet on an equi-join of those.
-    ``n_links`` counts the other classes linked directly. Texts without
-    signatures form one class; a null doc_id is dropped from links and keeps
-    its class's id; empty tables give empty results.
+    each class of lengths reaching as far as the threshold allows. Signatures
+    are ordered from the rarest; two sets that are alike enough share one of
+    their first in that order, as many as the threshold leaves, so they meet on
+    an equi-join of those, and what all texts have in common brings none
+    together. Only numbers of sets travel there; the pairs that are left fetch
+    their sets and are compared exactly. ``n_links`` counts the other classes
+    linked directly. Texts without signatures form one class; rows of equal id
+    but other texts are texts of their own; ``component_id`` is the smallest id
+    of the class, null where none has an id; empty tables give empty results.
     """
     rows = with_signatures(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text", "sigs").select("doc_id", "sigs")
-    rows = rows.withColumn("set_key", F.md5(F.array_join(F.transform("sigs", lambda s: F.hex(s)), ",")))
-    rows, _ = materialize(rows, "spots")
-    sets = rows.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("sigs").alias("sigs")).where("rep is not null and size(sigs) > 0")
-    size = F.size("sigs")
-    length = F.floor(F.log(size.cast("double")) / F.lit(-math.log(threshold))).cast("int")
-    first = F.slice("sigs", F.lit(1), size - F.ceil(size * threshold).cast("int") + 1)
-    spread = sets.select("rep", "sigs", length.alias("part"), F.explode(first).alias("sig"))
-    a = spread.select(F.col("rep").alias("a"), F.col("sigs").alias("sa"), "part", "sig")
+    rows, _ = materialize(rows.withColumn("set_key", F.md5(F.array_join(F.transform("sigs", lambda s: F.hex(s)), ","))), "spots")
+    sets = rows.groupBy("set_key").agg(F.min("doc_id").alias("least"), F.first("sigs").alias("sigs"))
+    sets, _ = materialize(sets.withColumn("size", F.size("sigs")).withColumn("node", F.monotonically_increasing_id()), "spot-sets")
+    each = sets.select("node", "size", F.explode("sigs").alias("sig"))
+    often, _ = materialize(each.groupBy("sig").agg(F.count("*").alias("n")), "spot-counts")
+    ranked = each.join(often, "sig").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "sig"))).alias("order"))
+    size = F.col("size")
+    # Half a unit in the last places keeps a share at the threshold from being rounded off.
+    first = F.slice("order", F.lit(1), size - F.ceil(size * threshold - 1e-9).cast("int") + 1)
+    part = F.floor(F.log(size.cast("double")) / F.lit(-math.log(threshold)) + 1e-9).cast("int")
+    spread, _ = materialize(ranked.select("node", "size", part.alias("part"), F.explode(first).alias("at")).select("node", "size", "part", F.col("at.sig").alias("sig")), "spot-prefixes")
+    a = spread.select(F.col("node").alias("a"), F.col("size").alias("na"), "part", "sig")
     # A partner's length class is the same or next to it: each set looks one class up.
-    up = spread.select(F.col("rep").alias("b"), F.col("sigs").alias("sb"), F.explode(F.array(F.col("part"), F.col("part") - 1)).alias("part"), "sig", F.col("part").alias("own"))
+    up = spread.select(F.col("node").alias("b"), F.col("size").alias("nb"), F.explode(F.array(F.col("part"), F.col("part") - 1)).alias("part"), "sig", F.col("part").alias("own"))
     met = a.join(up, ["part", "sig"]).where((F.col("own") > F.col("part")) | (F.col("a") < F.col("b")))
-    met = met.where(F.least(F.size("sa"), F.size("sb")) >= threshold * F.greatest(F.size("sa"), F.size("sb")))
-    pairs, _ = materialize(met.where(likeness("sa", "sb") >= threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "spot-pairs")
-    degree = pairs.select(F.explode(F.array("a", "b")).alias("n")).groupBy("n").agg(F.count("*").alias("n_links"))
-    found = connected_components(pairs)
-    classes = rows.groupBy("set_key").agg(F.min("doc_id").alias("rep")).join(found, F.col("rep") == F.col("node"), "left").join(degree, F.col("rep") == F.col("n"), "left")
-    classes = classes.select("set_key", F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return rows.join(classes, "set_key").select("doc_id", "component_id", "n_links")
+    met = met.where(F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    own = lambda n: sets.select(F.col("node").alias(n), F.col("sigs").alias(f"s{n}"))
+    pairs, _ = materialize(met.join(own("a"), "a").join(own("b"), "b").where(likeness("sa", "sb") >= threshold).select("a", "b"), "spot-pairs")
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("_n")).groupBy("_n").agg(F.count("*").alias("n_links"))
+    found = connected_components(pairs).select(F.col("node").alias("_node"), "component")
+    classes = sets.select("set_key", "node", "least").join(found, F.col("node") == F.col("_node"), "left").join(degree, F.col("node") == F.col("_n"), "left")
+    classes = classes.select("set_key", "least", F.coalesce("component", "node").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = classes.groupBy("component").agg(F.min("least").alias("component_id"))
+    return rows.select("doc_id", "set_key").join(classes.join(named, "component").select("set_key", "component_id", "n_links"), "set_key").select("doc_id", "component_id", "n_links")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
