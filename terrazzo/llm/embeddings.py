@@ -1,17 +1,24 @@
 """Embedding near-duplicates by collision-counting projections.
 
-Unit vectors are projected on seeded Gaussian directions. A few directions,
-cut into cells, form the key of a table; there are as many tables as it takes
-for two vectors at the threshold to share a key with probability ``RECALL``.
-Inside a key, members are sorted along ``LINES`` further directions, and for
-every member as query centre the window collisions with the others are
-counted. A pair is verified by its cosine in double precision if it collides
-on as many lines as all but ``MISS`` of the pairs at the threshold do. Both
-counts follow from the normal distribution of a projected difference.
-
-Equal vectors are collapsed first. A pair that meets in several tables counts
-in the first of them, which its members decide from their keys alone, so tasks
-emit a count per member and a spanning forest, never the pairs.
+Unit vectors are projected on seeded Gaussian lines and the projections rounded
+to steps. ``CELL``-wide pieces of a few further projections form the key of a
+table; there are as many tables as it takes for two vectors at the threshold to
+share a key with probability ``RECALL``. Inside a key, members are sorted along
+every line, and for every member as query centre the window collisions with the
+others are counted, first on ``FIRST`` lines for all, then on all lines for the
+pairs that are left. Both counts that a pair has to reach are calibrated: pairs
+at the threshold miss each with a probability of at most ``MISS``, which
+follows from the normal distribution of a projected difference.
+
+Tables are searched twice. At first only rounded projections travel, a byte a
+line, and members with a passing pair are marked. Then marked members meet once
+more with their vectors, and pairs that pass are verified by their cosine in
+double precision.
+
+Equal vectors are collapsed before. Keys and projections are computed once and
+travel with a vector, so a pair that meets in several tables counts in the
+first of them. Tasks emit a count per member and a spanning forest, never the
+pairs.
 """
 
 from __future__ import annotations
@@ -31,10 +38,12 @@ from terrazzo.storage import materialize
 COSINE = 0.95
 RECALL, MISS = 0.995, 0.0005
 SEED = 20240607
-#: Lines whose collisions are counted, their half-width, and the width of a key's cells.
-LINES, HALF, CELL = 32, 0.6, 1.0
-#: Members of a key that are handled together; rows of a tile of a larger key.
-FEW, TILE = 64, 1536
+#: Lines whose collisions are counted, how many for all pairs, the step of a rounded projection and a window's half-width in steps.
+LINES, FIRST, STEP, HALF = 24, 16, 0.05, 16
+#: Width of a key's cells.
+CELL = 2.0
+#: Members of a key that unlike vectors make up; rows of a tile of a larger key; pairs counted at a time.
+FEW, TILE, BLOCK = 512, 4096, 1 << 20
 
 
 def _phi(x: float) -> float:
@@ -54,15 +63,16 @@ def plan(n: int, cosine: float) -> tuple[int, int]:
     return width, math.ceil(math.log(1 - RECALL) / math.log(1 - near**width))
 
 
-def least_collisions(cosine: float) -> int:
-    """Largest count that pairs at the threshold miss with probability at most ``MISS``."""
-    p = 2 * _phi(HALF / math.sqrt(2 - 2 * cosine)) - 1
+def least_collisions(cosine: float, lines: int) -> int:
+    """Largest count of ``lines`` that pairs at the threshold miss with probability at most ``MISS``."""
+    # Rounding moves a difference by a step at most.
+    p = 2 * _phi((HALF - 1) * STEP / math.sqrt(2 - 2 * cosine)) - 1
     below = 0.0
-    for k in range(LINES + 1):
-        below += math.comb(LINES, k) * p**k * (1 - p) ** (LINES - k)
+    for k in range(lines + 1):
+        below += math.comb(lines, k) * p**k * (1 - p) ** (lines - k)
         if below > MISS:
             return k
-    return LINES
+    return lines
 
 
 class Projector:
@@ -78,7 +88,11 @@ class Projector:
         """A key for every vector and table."""
         cells = np.floor(unit @ self.axes / CELL + self.shift).astype(np.int64).reshape(-1, *self.shape)
         h = (cells * self.mix).sum(2)
-        return (h ^ (h >> 29)) * np.int64(0x2545F4914F6CDD1D)
+        return (h ^ (h >> 29)) * np.int64(0x2545F4914F6CDD1D) + np.arange(self.shape[0])
+
+    def steps(self, unit: np.ndarray) -> np.ndarray:
+        """Projections in steps, a byte each; far ends are drawn in, which makes nothing miss."""
+        return np.clip(np.rint(unit @ self.lines / STEP), -127, 127).astype(np.int8)
 
 
 def _units(column: pa.Array, dim: int) -> np.ndarray:
@@ -87,17 +101,49 @@ def _units(column: pa.Array, dim: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
-def collide(lines: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Per pair, on how many lines the second lies in the window around the first."""
-    counts = np.zeros((len(lines), len(others)), np.uint8)
-    for a, b in zip(lines.T, others.T):
-        order = np.argsort(b, kind="stable")
-        rank = np.empty(len(b), np.int32)
-        rank[order] = np.arange(len(b), dtype=np.int32)
-        low = np.searchsorted(b[order], a - HALF, "left").astype(np.int32)
-        high = np.searchsorted(b[order], a + HALF, "right").astype(np.int32)
-        counts += (rank >= low[:, None]) & (rank < high[:, None])
-    return counts
+def _steps(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(-1, LINES).astype(np.int16)
+
+
+def collisions(left: np.ndarray, right: np.ndarray, bounds: tuple[int, int]):
+    """Yields positions ``(x, y)`` of pairs that collide on enough of the first, and on enough of all lines."""
+    order = np.argsort(right[:, :FIRST], axis=0, kind="stable")
+    rank = np.empty((FIRST, len(right)), np.uint16)
+    for line in range(FIRST):
+        rank[line, order[:, line]] = np.arange(len(right), dtype=np.uint16)
+    step = max(1, BLOCK // max(1, len(right)))
+    for at in range(0, len(left), step):
+        part = left[at : at + step]
+        counts = np.zeros((len(part), len(right)), np.uint8)
+        for line in range(FIRST):
+            along = right[order[:, line], line]
+            low = np.searchsorted(along, part[:, line] - HALF, "left").astype(np.uint16)
+            width = np.searchsorted(along, part[:, line] + HALF, "right").astype(np.uint16) - low
+            # Ranks before the window wrap around to large numbers.
+            counts += rank[line] - low[:, None] < width[:, None]
+        x, y = np.nonzero(counts >= bounds[0])
+        enough = (np.abs(part[x] - right[y]) <= HALF).sum(1) >= bounds[1]
+        yield x[enough] + at, y[enough]
+
+
+def _pairs(rows: pa.Table, bounds: tuple[int, int]):
+    """Yields row positions of the passing pairs of every group of a table, once each, with the group's first row."""
+    key, lo, hi, mine = (rows.column(c).to_numpy() for c in ("key", "_lo", "_hi", "_mine"))
+    steps = _steps(rows.column("steps"))
+    cuts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]), [True]]))
+    for a, b in zip(cuts, cuts[1:]):
+        if b - a < 2:
+            continue
+        own = np.arange(a, b)
+        same = lo[a] == hi[a]
+        left = own if same else own[mine[a:b] == lo[a]]
+        right = own if same else own[mine[a:b] != lo[a]]
+        for x, y in collisions(steps[left], steps[right], bounds):
+            x, y = left[x], right[y]
+            if same:
+                x, y = x[x < y], y[x < y]
+            if len(x):
+                yield a, x, y
 
 
 def links(vectors: DataFrame, dim: int, cosine: float, n: int) -> DataFrame:
@@ -106,51 +152,45 @@ def links(vectors: DataFrame, dim: int, cosine: float, n: int) -> DataFrame:
     ``links`` counts vectors linked to ``rep``; ``other`` is a spanning link or null.
     """
     width, tables = plan(n, cosine)
-    bound = least_collisions(cosine)
+    bounds = least_collisions(cosine, FIRST), least_collisions(cosine, LINES)
 
-    def deal(batches):
+    def project(batches):
         tool = Projector(dim, width, tables)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = tool.keys(_units(batch.column("embedding"), dim))
-            for t in range(tables):
-                table = pa.array(np.full(batch.num_rows, t, np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(keys[:, t] * tables + t), table, *(batch.column(c) for c in ("rep", "n", "embedding"))], ["key", "table", "rep", "n", "embedding"])
+            unit = _units(batch.column("embedding"), dim)
+            steps = tool.steps(unit).tobytes()
+            ends = pa.array(np.arange(batch.num_rows + 1) * tables, pa.int32())
+            keys = pa.ListArray.from_arrays(ends, pa.array(tool.keys(unit).ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("n"), pa.array([steps[k : k + LINES] for k in range(0, len(steps), LINES)], pa.binary()), keys], ["rep", "n", "steps", "keys"])
+
+    signs, _ = materialize(vectors.select("rep", "n", "embedding").mapInArrow(project, "rep long, n long, steps binary, keys array<long>"), "vector-signs")
+    group = ["key", "_lo", "_hi"]
 
-    kind = dict(vectors.dtypes)["embedding"]
-    spread = vectors.select("rep", "n", "embedding").mapInArrow(deal, f"key long, table int, rep long, n long, embedding {kind}")
+    def mark(batches):
+        for rows in _by_key(batches):
+            seen = np.zeros(rows.num_rows, bool)
+            for _, x, y in _pairs(rows, bounds):
+                seen[x] = seen[y] = True
+            if seen.any():
+                yield pa.Table.from_arrays([rows.column(c).filter(pa.array(seen)) for c in ("rep", "table", "key")], ["rep", "table", "key"]).combine_chunks().to_batches()[0]
+
+    spread = signs.select("rep", "steps", F.posexplode("keys").alias("table", "key"))
+    met = tiled(spread, "key", "rep", TILE).repartition(*group).sortWithinPartitions(*group)
+    marked = met.select(*group, "_mine", "rep", "table", "steps").mapInArrow(mark, "rep long, table int, key long").distinct()
+    marked, _ = materialize(marked, "vector-marks")
 
     def count(batches):
-        tool = Projector(dim, width, tables)
         for rows in _by_key(batches):
             unit = _units(rows.column("embedding"), dim)
-            rep, weight = rows.column("rep").to_numpy(), rows.column("n").to_numpy()
-            key, lo, mine, table = (rows.column(c).to_numpy() for c in ("key", "_lo", "_mine", "table"))
-            hi = rows.column("_hi").to_numpy()
+            rep, weight, table = (rows.column(c).to_numpy() for c in ("rep", "n", "table"))
+            keys = rows.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, tables)
             total = np.zeros(len(rep), np.int64)
             labels = np.arange(len(rep))
-            cuts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]), [True]]))
-            lines, keys = unit @ tool.lines, None
-            for a, b in zip(cuts, cuts[1:]):
-                if b - a < 2:
-                    continue
-                own = np.arange(a, b)
-                same = lo[a] == hi[a]
-                left = own if same else own[mine[a:b] == lo[a]]
-                right = own if same else own[mine[a:b] != lo[a]]
-                x, y = np.nonzero(collide(lines[left], lines[right]) >= bound)
-                x, y = left[x], right[y]
-                if same:
-                    x, y = x[x < y], y[x < y]
-                if not len(x):
-                    continue
+            for a, x, y in _pairs(rows, bounds):
                 near = np.einsum("ij,ij->i", unit[x], unit[y]) >= cosine
                 x, y = x[near], y[near]
-                if keys is None:
-                    keys = tool.keys(unit)
                 t = int(table[a])
-                new = ~(keys[x, :t] == keys[y, :t]).any(1) if t else np.ones(len(x), bool)
+                new = ~(keys[x, :t] == keys[y, :t]).any(1)
                 np.add.at(total, x[new], weight[y[new]])
                 np.add.at(total, y[new], weight[x[new]])
                 labels = merge_labels(labels, x, y)
@@ -159,9 +199,9 @@ def links(vectors: DataFrame, dim: int, cosine: float, n: int) -> DataFrame:
                 other = pa.array(rep[labels[some]], mask=labels[some] == some)
                 yield pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(total[some]), other], ["rep", "links", "other"])
 
-    keys = ["key", "_lo", "_hi"]
-    dealt = tiled(spread, "key", "rep", TILE).repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.select(*keys, "_mine", "table", "rep", "n", "embedding").mapInArrow(count, "rep long, links long, other long")
+    whole = tiled(marked, "key", "rep", TILE).join(signs, "rep").join(vectors.select("rep", "embedding"), "rep")
+    whole = whole.select(*group, "_mine", "table", "rep", "n", "steps", "keys", "embedding").repartition(*group).sortWithinPartitions(*group)
+    return whole.mapInArrow(count, "rep long, links long, other long")
 
 
 def _by_key(batches, at_least: int = 4096):

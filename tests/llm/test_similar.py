@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -147,6 +148,45 @@ def test_against_edit(frame, odd, none):
     assert alone.near_next == 1.0
 
 
+def brute_signatures(text):
+    """Signatures word by word, as the module's description has them."""
+    norm = regex.sub(r"[^\p{L}\p{N}]+", " ", text.lower()).strip(" ")
+    w, common = norm.split(" ") if norm else [], set(spotsigs.COMMON)
+
+    def content(k):
+        while k < len(w) - 1 and w[k] in common:
+            k += 1
+        return k
+
+    out = []
+    for i in range(len(w)):
+        if w[i] in common and (j := content(i + 1)) < len(w) and (k := content(j + 1)) < len(w):
+            out.append(f"{w[i]} {w[j]} {w[k]}")
+    cuts = [-1, *(k for k, x in enumerate(w) if x in common), len(w)]
+    for a, b in zip(cuts, cuts[1:]):
+        if b - a - 1 >= spotsigs.SPARSE:
+            out += [f"{x} {y}" for x, y in zip(w[a + 1 : b - 1], w[a + 2 : b])]
+    if not out:
+        out = [f"{x} {y}" for x, y in zip(w, w[1:])] or ([norm or text] if text else [])
+    return {xxhash.xxh64_intdigest(x.encode(), 42) & 0xFFFFFFFF for x in out}
+
+
+def test_signatures_against_brute_force(spark, frame):
+    share = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    rows += [(10**6 + k, t) for k, t in enumerate(["", None, "the", "the of", "The cat", "...", "the of and cat dog of", "a b c d e f g h i j k l m n", "été le chat noir de la nuit et der Hund"])]
+    texts = {i: t or "" for i, t in rows}
+    order = sorted(texts)
+    got = {r.doc_id: r for r in spotsigs.against_edit(frame(rows)).collect()}
+    assert len(got) == len(rows)
+    for i, after in zip(order, order[1:] + order[:1]):
+        t, cut = texts[i], len(texts[i]) // 4
+        own, other, following = (brute_signatures(x) for x in (t, t[: len(t) - cut] + texts[after][:cut], texts[after]))
+        text = lambda sigs: "".join(f"{x:08x}" for x in sorted(sigs))
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (text(own), text(other)), t[:80]
+        assert abs(got[i].near_edited - share(own, other)) < 1e-12 and abs(got[i].near_next - share(own, following)) < 1e-12
+
+
 def test_scarce_spots_do_not_change_the_kind_of_a_set(frame):
     rng = random.Random(6)
     word = lambda: f"w{rng.randrange(10**6)}"
@@ -163,6 +203,12 @@ def test_against_edit_over_many_buckets(frame, monkeypatch):
     rows = [(i, f"text number {i} of the list") for i in ids]
     got = {r.doc_id: r.next_text for r in spotsigs.with_next(frame(rows)).collect()}
     assert got == {i: f"text number {n} of the list" for i, n in zip(ids, ids[1:] + ids[:1])}
+    void = [f"no id, text {k}" for k in range(50)]
+    void.sort(key=lambda t: np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).astype(np.int64))
+    rows += [(None, t) for t in void]
+    found = {r.text: r.next_text for r in spotsigs.with_next(frame(rows)).collect()}
+    texts = [t for _, t in rows]
+    assert found == dict(zip(texts, texts[1:] + texts[:1]))
 
 
 def test_spot_duplicates(frame, odd, none):
@@ -173,6 +219,28 @@ def test_spot_duplicates(frame, odd, none):
     assert spotsigs.near_duplicates(odd).count() == 11 and spotsigs.near_duplicates(none).count() == 0
 
 
+def test_spot_classes_against_brute_force(frame):
+    rng = random.Random(17)
+    common = "the sun of the day and the moon in the night"
+    texts = []
+    for _ in range(12):
+        base = [f"the w{rng.randrange(10**5)} x{rng.randrange(10**5)}" for _ in range(rng.randrange(6, 40))]
+        for _ in range(6):
+            other = base[:]
+            for _ in range(rng.randrange(0, 5)):
+                other[rng.randrange(len(other))] = f"of y{rng.randrange(10**5)} z{rng.randrange(10**5)}"
+            # All texts share what is common, a third of them nothing else.
+            texts.append(" . ".join([common, *other]) if rng.random() < 0.7 else common)
+    rows = list(enumerate(texts))
+    sets = [brute_signatures(t) for t in texts]
+    alike = [[len(a & b) / len(a | b) >= 0.8 for b in sets] for a in sets]
+    label = components(len(rows), [(a, b) for a in range(len(rows)) for b in range(a) if alike[a][b]])
+    got = {r.doc_id: (r.component_id, r.n_links) for r in spotsigs.near_duplicates(frame(rows)).collect()}
+    for i in range(len(rows)):
+        links = {frozenset(sets[j]) for j in range(len(rows)) if alike[i][j]} - {frozenset(sets[i])}
+        assert got[i] == (label[i], len(links))
+
+
 def vectors(seed, n=300, dim=24):
     rng = np.random.default_rng(seed)
     x = rng.standard_normal((n, dim))
@@ -199,12 +267,45 @@ def test_embedding_links(spark, monkeypatch):
 
 def test_calibration():
     rng = np.random.default_rng(0)
-    diff = np.abs(rng.standard_normal((4000, embeddings.LINES)) * np.sqrt(0.1)) <= embeddings.HALF
-    assert (diff.sum(1) < embeddings.least_collisions(0.95)).mean() < 0.005
+    a = rng.standard_normal((4000, embeddings.LINES))
+    rounded = lambda x: np.rint(x / embeddings.STEP)
+    hit = np.abs(rounded(a) - rounded(a + rng.standard_normal(a.shape) * np.sqrt(0.1))) <= embeddings.HALF
+    for lines in (embeddings.FIRST, embeddings.LINES):
+        assert (hit[:, :lines].sum(1) < embeddings.least_collisions(0.95, lines)).mean() < 0.005
     width, tables = embeddings.plan(100_000, 0.95)
     assert 1 - (1 - embeddings.cell_share(np.sqrt(0.1)) ** width) ** tables >= embeddings.RECALL
 
 
+def test_collisions_against_all_pairs(monkeypatch):
+    monkeypatch.setattr(embeddings, "BLOCK", 500)
+    rng = np.random.default_rng(3)
+    x = np.rint(rng.standard_normal((90, embeddings.LINES)) * 12).astype(np.int16)
+    bounds = (9, 14)
+    hit = np.abs(x[:40, None] - x[None]) <= embeddings.HALF
+    want = set(zip(*np.nonzero((hit[:, :, : embeddings.FIRST].sum(2) >= 9) & (hit.sum(2) >= 14))))
+    got = [(a, b) for p, q in embeddings.collisions(x[:40], x, bounds) for a, b in zip(p, q)]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_recall_on_planted_pairs(spark):
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((1500, 64))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    rows = [base]
+    for cosine in (0.95, 0.952, 0.96, 0.98):
+        side = rng.standard_normal((400, 64))
+        side -= (side * base[:400]).sum(1)[:, None] * base[:400]
+        side /= np.linalg.norm(side, axis=1)[:, None]
+        rows.append(cosine * base[:400] + np.sqrt(1 - cosine**2) * side)
+    x = np.concatenate(rows).astype(np.float32)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    near = unit @ unit.T >= 0.95
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(df).collect()}
+    want = near.sum(1) - 1
+    assert all(got[k] <= want[k] for k in got) and sum(got.values()) >= 0.99 * want.sum() > 2000
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, [1.0, 0.0]), (8, [2.0, 0.0]), (8, [2.0, 0.0]), (9, [1.0, 0.0, 0.0]), (None, [1.0, 0.0])]
