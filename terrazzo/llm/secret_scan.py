@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrazzo.storage import discard, materialize
+
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 KINDS = ("assign", "access", "hex", "guess")
 
@@ -38,7 +40,8 @@ _WORDS = ("password", "passwd", "secret", "token")
 ASSIGN = re.compile("(" + "|".join(map(_either, _WORDS)) + "|" + _either("api") + "_?" + _either("key") + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-_ASSIGN_HINT = re.compile("(?i)passw|secret|token|api_?key")
+#: What a folded text has to hold before a pattern is tried on it.
+_ASSIGN_HINTS = ("passw", "secret", "token", "apikey", "api_key")
 
 #: Words that put the value after them in credential context, those of ASSIGN included.
 _CONTEXT = ("passphrase", "passcode", "credential", "credentials", "private_key", "access_key", "auth", "bearer", "pwd", "pass", *_WORDS, "api_?key")
@@ -48,7 +51,7 @@ CONTEXT = re.compile("(?i)(?<![A-Za-z0-9])(?:" + "|".join(_CONTEXT) + r""")["']?
 #: Assignments as ASSIGN finds them, with their whole values.
 ASSIGNED = re.compile("(?:" + "|".join(map(_either, _WORDS)) + "|" + _either("api") + "_?" + _either("key") + r""")["']?\x20*[:=]\x20*["']?""" + _VALUE)
 LOGIN = re.compile(r"://[A-Za-z0-9._-]+:([^\x20\x09-\x0D@/]{6,})@")
-_CONTEXT_HINT = re.compile("(?i)pass|pwd|auth|bearer|_key|credential|://")
+_CONTEXT_HINTS = (*_ASSIGN_HINTS, "pass", "pwd", "auth", "bearer", "_key", "credential", "://")
 
 #: Decimal digits of guesses from which a value counts as secret.
 MIN_DIGITS = 8.0
@@ -193,10 +196,14 @@ class Guesser:
         return best[-1]
 
 
+def _holds(folded: str, hints: tuple[str, ...]) -> bool:
+    return any(h in folded for h in hints)
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """``(start, kind, end)`` of the fixed patterns, by start, then kind."""
     out = []
-    if _ASSIGN_HINT.search(text):
+    if _holds(text.casefold(), _ASSIGN_HINTS):
         out += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end() - m.start(2) >= 6]
     if "AKIA" in text:
         out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
@@ -207,7 +214,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def values(text: str) -> dict[int, int]:
     """Values in credential context, assigned ones included: starts and ends."""
     found: dict[int, int] = {}
-    if _CONTEXT_HINT.search(text) or _ASSIGN_HINT.search(text):
+    if _holds(text.casefold(), _CONTEXT_HINTS):
         for pattern, group in ((ASSIGN, 2), (ASSIGNED, 1), (CONTEXT, 1), (LOGIN, 1)):
             for m in pattern.finditer(text):
                 a, b = m.span(group)
@@ -248,8 +255,17 @@ def word_ranks(docs: DataFrame, keep: int = WORDS) -> dict[str, int]:
         yield told()
 
     parts = docs.select("text").mapInArrow(run, "word string, n long")
-    top = parts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(keep)
-    return {r.word: k + 1 for k, r in enumerate(top.collect())}
+    counts, path = materialize(parts.groupBy("word").agg(F.sum("n").alias("n")), "words")
+    # How many words have about which count: a few hundred rows, which say how far down the first words lie.
+    level = F.floor(F.log2(F.col("n").cast("double")) * 16).cast("long")
+    held, least = 0, 0
+    for r in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+        held, least = held + r["count"], r.level
+        if held >= keep:
+            break
+    top = counts.where(level >= least).orderBy(F.desc("n"), "word").limit(keep).collect()
+    discard(docs.sparkSession, path)
+    return {r.word: k + 1 for k, r in enumerate(top)}
 
 
 def _join(spans) -> str:

@@ -196,6 +196,21 @@ def test_very_long_values_take_linear_time(frame):
     assert len(got) == 2
 
 
+def test_word_ranks(frame, none):
+    rng = random.Random(18)
+    words = [f"{a}{b}word" for a in "abcdefgh" for b in "ijklmnop"]
+    rows = [(k, " ".join(rng.choice(words[: 4 + k % 60]).upper() for _ in range(30)) + " password=verysecretvalue") for k in range(60)]
+    counts = {}
+    for _, t in rows:
+        for w in t.split()[:-1]:
+            counts[w.lower()] = counts.get(w.lower(), 0) + 1
+    counts["password"] = 60
+    want = sorted(counts, key=lambda w: (-counts[w], w))
+    for keep in (5, 1000):
+        assert secret_scan.word_ranks(frame(rows), keep) == {w: k + 1 for k, w in enumerate(want[:keep])}
+    assert secret_scan.word_ranks(none) == {}
+
+
 def test_planted_values(frame):
     rng = random.Random(10)
     words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(5, 11))) for _ in range(300)]
