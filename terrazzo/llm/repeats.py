@@ -2,8 +2,9 @@
 
 Stages shared by the byte and the word operator:
 
-1. every text gives its anchored regions (see ``anchors``); anchors that occur
-   once are dropped after a pre-aggregated count;
+1. every text gives its anchored regions (see ``anchors``), equal ones of one
+   text as one row, so that a text that repeats a line thousands of times does
+   not make a hot key; anchors that occur once are dropped after a pre-aggregated count;
 2. regions of equal anchor and content are copies: one row stays for each
    content, the others are settled at once;
 3. anchors that still have several contents are resolved by the operator's own
@@ -45,28 +46,51 @@ def same_doc(left: DataFrame, right: DataFrame):
     return left["doc_id"].eqNullSafe(right["doc_id"]) & left["tag"].eqNullSafe(right["tag"])
 
 
+def _again(anchor: np.ndarray, content: np.ndarray, lo: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, dict[int, list]]:
+    """Positions of the first of equal regions, in order, and the ranges that the others of each cover, merged."""
+    _, first, which = np.unique(anchor * np.uint64(3) + content, return_index=True, return_inverse=True)
+    if len(first) == len(lo):
+        return np.arange(len(lo)), {}
+    more: dict[int, list] = {}
+    for k in np.flatnonzero(first[which] != np.arange(len(lo))).tolist():
+        ranges = more.setdefault(int(first[which[k]]), [])
+        a, b = int(lo[k]), int(lo[k] + width[k])
+        if ranges and a <= ranges[-1]["b"]:
+            ranges[-1]["b"] = max(b, ranges[-1]["b"])
+        else:
+            ranges.append({"a": a, "b": b})
+    return np.sort(first), more
+
+
 def all_regions(docs: DataFrame, tokens: Callable[[str], tuple[np.ndarray, bytes]], window: int, gram: int) -> DataFrame:
-    """``(anchor, content, doc_id, tag, place, extent)``; extent packs count and offset."""
+    """``(anchor, content, doc_id, tag, place, extent, more)``, one row for equal regions of a text.
+
+    ``extent`` packs count and offset of the first of them; ``more`` holds the
+    ranges of tokens that the others cover.
+    """
+    kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
     def run(batches):
         for batch in batches:
-            parts, rows = [], []
+            parts, rows, again = [], [], []
             for k, text in enumerate(batch.column("text").to_pylist()):
                 r = regions(*tokens(text), window, gram) if text else None
                 if r is not None and len(r.lo):
-                    parts.append((r.anchor, r.content, r.lo, r.count << _BITS | r.offset))
-                    rows.append((k, len(r.lo)))
+                    first, more = _again(r.anchor, r.content, r.lo, r.count + window - 1)
+                    parts.append((r.anchor[first], r.content[first], r.lo[first], (r.count << _BITS | r.offset)[first]))
+                    again += [more.get(x) for x in first.tolist()] if more else [None] * len(first)
+                    rows.append((k, len(first)))
             if not parts:
                 continue
             which = np.repeat([k for k, _ in rows], [n for _, n in rows])
             anchor, content, lo, extent = (np.concatenate(c) for c in zip(*parts))
             index = pa.array(which)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), batch.column("doc_id").take(index), batch.column("tag").take(index), pa.array(lo), pa.array(extent)],
-                ["anchor", "content", "doc_id", "tag", "place", "extent"],
+                [pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), batch.column("doc_id").take(index), batch.column("tag").take(index), pa.array(lo), pa.array(extent), pa.array(again, kind)],
+                ["anchor", "content", "doc_id", "tag", "place", "extent", "more"],
             )
 
-    return docs.mapInArrow(run, "anchor long, content long, doc_id long, tag long, place long, extent long")
+    return docs.mapInArrow(run, "anchor long, content long, doc_id long, tag long, place long, extent long, more array<struct<a:long,b:long>>")
 
 
 def covered(
@@ -89,16 +113,19 @@ def covered(
     """
     anchors = all_regions(docs, tokens, window, gram)
     # Written, so that both sides of a join are dealt afresh and a hot anchor can be split.
-    again, _ = materialize(anchors.groupBy("anchor").count().where("count > 1").select("anchor"), "anchors")
+    inside = F.col("more").isNotNull()
+    again, _ = materialize(anchors.groupBy("anchor").agg(F.count("*").alias("n"), F.max(inside).alias("inside")).where("n > 1 or inside").select("anchor"), "anchors")
     found, _ = materialize(anchors.join(again, "anchor", "left_semi"), "regions")
     first = F.min(F.struct(F.col("doc_id"), F.col("tag"), F.col("place"), F.col("extent"))).alias("first")
-    classes, _ = materialize(found.groupBy("anchor", "content").agg(first, (F.count("*") > 1).alias("many")), "classes")
+    classes, _ = materialize(found.groupBy("anchor", "content").agg(first, ((F.count("*") > 1) | F.max(inside)).alias("many")), "classes")
     reach = F.col("place") + F.shiftright("extent", _BITS) + F.lit(window - 1)
     copies = classes.where("many").select("anchor", "content", *([F.col("first")] if keep_first else []))
     settled = found.join(copies, ["anchor", "content"])
     if keep_first:
         settled = settled.where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & F.col("tag").eqNullSafe(F.col("first.tag")) & (F.col("place") == F.col("first.place"))))
     settled = settled.select("doc_id", "tag", F.col("place").alias("a"), reach.alias("b"))
+    # Later regions of a text that equal an earlier one of its own go in any case.
+    settled = settled.unionByName(found.where(inside).select("doc_id", "tag", F.explode("more").alias("_r")).select("doc_id", "tag", "_r.a", "_r.b"))
 
     several, _ = materialize(classes.groupBy("anchor").agg(F.count("*").alias("contents")).where("contents > 1"), "several")
     still = classes.join(several, "anchor").select("anchor", "many", "contents", "first.*")

@@ -91,6 +91,17 @@ def test_windows_of_hot_anchors(frame, monkeypatch):
     assert got == brute_words(rows, 20)
 
 
+def test_texts_that_repeat_themselves(frame, spark):
+    rows = [(1, "x " * 500 + "end"), (2, "a b c d e f g h " * 60), (3, "start " + "x " * 300), (4, "q " * 25 + "y z " * 40), (5, "unique words only in this text of more than a few")]
+    docs = frame(rows)
+    found = repeats.all_regions(repeats.keyed(docs), substring.word_tokens, 20, 6)
+    assert found.groupBy("doc_id", "anchor", "content").count().where("count > 1").count() == 0 and found.count() < 120
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring.remove_repeats(docs, 20).collect()}
+    assert got == brute_words(rows, 20)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixes.remove_repeats(docs, 100).collect()}
+    assert got == brute_bytes(rows, 100)
+
+
 def test_difference_cover():
     assert {(a - b) % suffixes.COVER for a in suffixes.RESIDUES for b in suffixes.RESIDUES} == set(range(suffixes.COVER))
     for a in range(suffixes.COVER):
