@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Chunks whose pieces a worker remembers; two generations of so many take some 120 MB.
-CACHE = 300_000
+#: Chunks whose pieces a worker remembers; two generations of so many take some 60 MB.
+CACHE = 150_000
 #: Score of a pair that is no piece.
 NEVER = float("-inf")
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ends_sha256 string"
