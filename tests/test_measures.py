@@ -183,6 +183,16 @@ def test_files(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "m")).count() == 168
 
 
+def test_long_lines_of_times_are_split_once(spark, tmp_path):
+    (tmp_path / "t.txt").write_text(f"f {' '.join(map(str, range(5000)))}\n\n  g 9 \nh\n")
+    times = files.read_times(spark, str(tmp_path / "t.txt"))
+    rows = sorted((r.name, r.seq, r.value) for r in times.collect())
+    assert rows == [("f", k, k) for k in range(5000)] + [("g", 0, 9)]
+    # What stands above the explosion is done for every value.
+    above = times._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
+    assert "posexplode" not in above and "split(" not in above
+
+
 def test_run_store(spark, tmp_path):
     from datetime import datetime
 
