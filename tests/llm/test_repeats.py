@@ -91,6 +91,49 @@ def test_windows_of_hot_anchors(frame, monkeypatch):
     assert got == brute_words(rows, 20)
 
 
+def test_blocks_of_hot_anchors(frame, monkeypatch):
+    rng = random.Random(21)
+    letters = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = letters(700)
+    rows = [(k, letters(350) + passage + letters(350)) for k in range(30)] + [(100 + k, letters(320) + "in " * (150 + k) + letters(320)) for k in range(12)]
+    made, write = {}, repeats.materialize
+
+    def counted(df, tag):
+        out = write(df, tag)
+        made[tag] = made.get(tag, 0) + out[0].count()
+        return out
+
+    monkeypatch.setattr(repeats, "LIMIT", 3)
+    monkeypatch.setattr(repeats, "materialize", counted)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixes.remove_repeats(frame(rows)).collect()}
+    assert got == brute_bytes(rows, suffixes.WINDOW)
+    regions = repeats.all_regions(repeats.keyed(frame(rows)), suffixes.byte_tokens, suffixes.WINDOW, suffixes.GRAM).dropDuplicates(["anchor", "content"]).collect()
+    contents = {}
+    for r in regions:
+        contents.setdefault(r.anchor, []).append(repeats.extents(r.extent)[0])
+    windows = sum(sum(c) for c in contents.values() if len(c) > 3)
+    # Windows of hot anchors travel in blocks; few become rows of their own.
+    assert windows > 2000 and 0 < made["blocks"] + made.get("windows", 0) < windows / 4
+
+
+@pytest.mark.parametrize("size", [1, 4, 32, 500])
+def test_equal_windows_share_a_block(frame, size):
+    rows = list(enumerate(texts(15)))
+    tokens, window, gram, joined = suffixes.byte_tokens, 120, 30, {i: t.encode() for i, t in rows}
+    found = repeats.all_regions(repeats.keyed(frame(rows)), tokens, window, gram).where("more is null").collect()
+    cut = suffixes._cut
+    bare = [(r.anchor, r.doc_id, r.tag, r.place, r.extent, False, joined[r.doc_id][r.place : r.place + repeats.extents(r.extent)[0] + window - 1]) for r in found]
+    blocks = repeats.divided(frame([]).sparkSession.createDataFrame(bare, repeats.BARE), cut, window, gram, size).collect()
+    places, keys = [], {}
+    for b in blocks:
+        n = repeats.extents(b.extent)[0]
+        assert n <= size and bytes(b.payload) == joined[b.doc_id][b.place : b.place + n + window - 1]
+        places += [(b.doc_id, b.place + k) for k in range(n)]
+        for k in range(n):
+            assert keys.setdefault(bytes(b.payload[k : k + window]), b.anchor) == b.anchor
+    assert len(places) == len(set(places)) == sum(repeats.extents(r.extent)[0] for r in found)
+
+
 def test_texts_that_repeat_themselves(frame, spark):
     rows = [(1, "x " * 500 + "end"), (2, "a b c d e f g h " * 60), (3, "start " + "x " * 300), (4, "q " * 25 + "y z " * 40), (5, "unique words only in this text of more than a few")]
     docs = frame(rows)
