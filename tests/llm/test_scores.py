@@ -336,6 +336,30 @@ def test_spans_cover_the_source(model):
         assert ids.tolist() == [i for i, _, _ in spans] and ends.tolist() == [e for _, _, e in spans]
 
 
+def test_new_words_are_merged_together(model, library, monkeypatch):
+    rng = random.Random(7)
+    words = ["".join(rng.choice(["th", "e", "an", "er", "ß", "é", "ing", "x", "q", "...", "###"]) for _ in range(rng.randrange(1, 20))) for _ in range(4000)]
+    texts = [*(" ".join(rng.choices(words, k=60)) for _ in range(300)), "", "a ▁ b", "abc" * 4000, "x  y   z", *samples()]
+    parts = [w.replace(" ", spiece.SPACE) for w in {" " + w.split(".")[0].split("#")[0] for w in words} if 1 < len(w)]
+    parts = [p for p in parts if all(ab in model.pairs for ab in zip(p, p[1:]))]
+    symbols, counts = model.merge_many(parts)
+    pieces = [model.pieces[i] for i in symbols]
+    assert len(parts) > 400 and pieces == [x for p in parts for x in model.merge(p)] and counts.tolist() == [len(model.merge(p)) for p in parts]
+    calls = []
+    monkeypatch.setattr(spiece.Model, "merge", lambda self, chunk, f=spiece.Model.merge: calls.append(chunk) or f(self, chunk))
+    fresh = spiece.Model(spiece.load(spiece.default_model()))
+    fresh.digests(texts[:300])
+    # Before, a merge of its own for each word; now only single characters outside all pairs.
+    assert all(len(c) == 1 for c in calls) and len(calls) < 10
+    # Forgetting changes nothing.
+    monkeypatch.setattr(spiece, "CACHE", 500)
+    monkeypatch.setattr(spiece, "AT_ONCE", 3000)
+    for text, (ids, _, listed, back), (n, *_) in zip(texts, fresh.aligned(texts), fresh.digests(texts), strict=True):
+        assert ids.tolist() == library.encode(text) and listed == ",".join(map(str, ids)) and back == library.decode(ids.tolist()) and n == len(ids)
+    fresh._forget()
+    assert 0 < len(fresh.known) <= 250 and list(fresh.known.values()) == list(range(len(fresh.known)))
+
+
 def trie(entries):
     """A double-array trie over a few keys, laid out by hand: every node's children start at a base of their own."""
     import struct
